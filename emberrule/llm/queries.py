@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_documents
 from .html_text import extract_pages
 from .mixing import mix_sources
+from .near_dedup import near_dedup
 from .packing import pack
 from .token_counts import count_tokens
 from .toxicity import toxicity
@@ -30,6 +31,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op6_toxicity": op6_toxicity,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_fingerprints": op8_fingerprints,
