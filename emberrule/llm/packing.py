@@ -12,6 +12,7 @@ import json
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,12 @@ class ByteEncoder:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@lru_cache(maxsize=2)
+def encoder(content: str) -> ByteEncoder:
+    """One for a worker, which runs many tasks."""
+    return ByteEncoder(content)
+
+
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; longer documents are cut, their first piece the short one."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -55,7 +62,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = ByteEncoder(sent.value)
+        encode = encoder(sent.value)
         end = np.array([end_id], np.uint32)
         for b in batches:
             out: list[tuple] = []

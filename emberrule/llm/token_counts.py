@@ -10,6 +10,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import tiktoken
@@ -89,6 +90,12 @@ class Counter:
         return total
 
 
+@lru_cache(maxsize=2)
+def counter(content: str) -> Counter:
+    """One for a worker, which runs many tasks."""
+    return Counter(content)
+
+
 def tokenizer_version(content: str) -> str:
     return hashlib.sha256(f"{NORMALISATION}:{tokenizers.__version__}:{content}".encode()).hexdigest()
 
@@ -124,7 +131,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     sent = spark.sparkContext.broadcast(content)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = Counter(sent.value)
+        count = counter(sent.value)
         for b in batches:
             n = [count(t) for t in b["content"]]
             yield pd.DataFrame({"digest": b["digest"], "n_tokens": n, "tokenizer_version": version})
