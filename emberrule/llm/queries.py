@@ -15,11 +15,16 @@ from .html_text import extract_pages
 from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .packing import pack
+from .pii import find_personal_data
 from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
 from .toxicity import toxicity
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("source_sha256")
 
@@ -58,6 +63,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op6_toxicity": op6_toxicity,
