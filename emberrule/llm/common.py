@@ -110,3 +110,36 @@ def ranked(df: DataFrame, order: list[Column], name: str, partitions: int | None
         .withColumn(name, (F.col("__before") + number).cast("long"))
         .drop("__part", "__before")
     )
+
+
+def text_hash(kind: str = "sha2") -> Column:
+    """A hash of a row's text as given, by which, with its id, the row can be found again."""
+    return F.sha2(text_of("text"), 256) if kind == "sha2" else F.xxhash64(text_of("text"))
+
+
+def give_back(docs: DataFrame, verdicts: DataFrame, value: str, hash_col: str, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``docs`` with the number ``value`` of ``verdicts`` (a row for each row of docs; ``by`` and ``hash_col``) as ``__value``.
+
+    Rows that agree in ``by`` and their text get the numbers of that key in turn, whichever row gets which. Rows whose
+    numbers are all 0 are left out, so that their texts need not be kept.
+    """
+    kind = "sha2" if dict(verdicts.dtypes)[hash_col] == "string" else "xxhash64"
+    keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(by)] + [F.col(hash_col).alias("__kh"), F.col(value).cast("long").alias("__v")]
+    names = [f"__k{i}" for i in range(len(by))] + ["__kh"]
+    numbers = verdicts.select(*keys).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"), F.sum("__v").alias("__sum"), F.max("__v").alias("__value"))
+    mixed = not numbers.filter("__sum <> __n * __value").isEmpty()
+    wanted = numbers.filter("__sum > 0").drop("__n", "__sum")
+    rows = docs.withColumn("__h", text_hash(kind))
+    on = rows["__h"] == F.col("__kh")
+    for i, k in enumerate(by):
+        on = on & rows[k].eqNullSafe(F.col(f"__k{i}"))
+    out = rows.join(wanted, on)
+    if mixed:  # rows of one key with different numbers: repeated rows
+        lists = verdicts.select(*keys).groupBy(*names).agg(F.sort_array(F.collect_list("__v"), False).alias("__list"))
+        nth = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))
+        lists = lists.select(*(F.col(n).alias(f"{n}l") for n in names), "__list")
+        on = F.col("__kh") == F.col("__khl")
+        for i in range(len(by)):
+            on = on & F.col(f"__k{i}").eqNullSafe(F.col(f"__k{i}l"))
+        out = out.withColumn("__nth", nth).join(lists, on).withColumn("__value", F.get("__list", F.col("__nth") - 1)).filter("__value > 0")
+    return out.select(*docs.columns, "__value")

@@ -112,23 +112,3 @@ def _with_ordinals(
     on = recipes["doc_id"].eqNullSafe(by_doc["__id"]) & (recipes["source_sha256"] == by_doc["__sha"])
     joined = recipes.join(by_doc, on, "left").drop("__id", "__sha")
     return materialise(joined.withColumn("ordinals", F.coalesce("ordinals", F.array().cast("array<long>"))))
-
-
-def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``verdicts`` (doc_id, source_sha256, kept) keep, with their columns as they are.
-
-    Repeated rows share an id and a text; of those as many stay as are kept.
-    """
-    key = verdicts.filter("kept").groupBy("doc_id", "source_sha256").agg(F.count(F.lit(1)).alias("__keep"))
-    key = key.select(F.col("doc_id").alias("__id"), F.col("source_sha256").alias("__sha"), "__keep")
-    spare = verdicts.groupBy("doc_id", "source_sha256").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("long")).alias("k")
-    )
-    repeated = not spare.filter("k > 0 and n > k").isEmpty()
-    rows = docs.withColumn("__row_sha", F.sha2(text_of("text"), 256))
-    on = rows["doc_id"].eqNullSafe(key["__id"]) & (rows["__row_sha"] == key["__sha"])
-    if not repeated:
-        return rows.join(key, on, "left_semi").drop("__row_sha")
-    joined = rows.join(key, on).drop("__id", "__sha")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__row_sha").orderBy(F.lit(0)))
-    return joined.withColumn("__nth", nth).filter("__nth <= __keep").drop("__nth", "__keep", "__row_sha")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -25,6 +25,8 @@ SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 SAMPLE, VOCABULARY = 20_000, 3_000
 #: Lengths of the beginnings of words that are features too, so that inflected and compound words count.
 BEGINNINGS = (5, 7)
+#: The score from which a text counts as toxic.
+THRESHOLD = 0.5
 #: Counterfactuals kept, and the weight of their penalty and of the weights' squares.
 PAIRS, SWAP_PENALTY, RIDGE = 20_000, 10.0, 3e-4
 #: How much more a toxic document counts in training, being rarer.
@@ -161,16 +163,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     return Model(index, weights, bias)
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a score from 0 to 1 in ``toxicity_score``: whole texts, null and empty ones too."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    name = "toxicity_score"
-    if name in docs.columns:
-        docs = docs.drop(name)
+def score_of(spark: SparkSession, model: Model, text: Column) -> Column:
+    """The score from 0 to 1 of a text: whole texts, null and empty ones too."""
+    sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -178,7 +177,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.Series([sent.value.score(t, words) for t in texts], dtype=float)
 
-    return docs.withColumn(name, score(text_of("text")))
+    return score(text_of(text))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -188,10 +187,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score alike. A null id is held out as false. No rows give no rows. Other columns are ignored.
     """
     model = fit(docs, labels.filter(~held_out()))
-    scored = score_documents(docs.select("doc_id", "text"), model)
+    scored = docs.select("doc_id", score_of(docs.sparkSession, model, F.col("text")).alias("score"))
     return scored.select(
         "doc_id",
         F.coalesce(held_out(), F.lit(False)).alias("held_out"),
-        F.col("toxicity_score").alias("score"),
-        (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
