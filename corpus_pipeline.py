@@ -1,23 +1,62 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline over ``documents``: drop toxic texts, exact and near copies, mix the sources, pack sequences.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame. Its rows are written as Parquet and read again as the
+next stage's docs. All but the last return the columns of documents; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberrule.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from emberrule.llm.common import give_back, materialise, table
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, taught by the labels of ``sf_dir``, doesn't find toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    return docs.filter(toxicity.score_of(spark, model, F.col("text")) < toxicity.THRESHOLD)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    verdicts = materialise(exact_dedup.exact_dedup(docs))
+    return give_back(docs, verdicts, "kept", "source_sha256").select(*docs.columns)
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    verdicts = materialise(near_dedup.near_dedup(docs))
+    return give_back(docs, verdicts, "kept", "text_key").select(*docs.columns)
+
 
-from emberrule.llm.common import materialise, table
-from emberrule.llm.exact_dedup import exact_dedup, keep_rows
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    verdicts = materialise(mixing.mix_sources(docs))
+    counted = give_back(docs, verdicts, "copies", "source_sha256", ("doc_id", "source"))
+    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__value").cast("int")))).select(*docs.columns)
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_rows(docs, materialise(exact_dedup(docs)))
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("exact dedup", exact)]
+STAGES = [
+    ("toxicity", clean),
+    ("exact dedup", distinct),
+    ("minhash near dedup", unlike),
+    ("mixing sources", mixed),
+    ("best-fit packing", packed),
+]
+#: A trained classifier and a tokenizer can't be told in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
