@@ -79,7 +79,8 @@ def mix_sources(
         targets.join(ends.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     )
     share = F.col("rest") / F.col("source_size")
-    rank = (F.col("unit") / (1 - F.col("unit"))) / (share / (1 - share))  # random odds over inclusion odds
+    # Random odds over inclusion odds; a source without a rest, or without words, has no order.
+    rank = F.when(F.col("rest") > 0, (F.col("unit") / (1 - F.col("unit"))) / (share / (1 - share)))
     known = attach_small(rows, info, "source", "rid", n)
     last = known.filter("bucket = `end` and rest > 0").withColumn("rank", rank)
     so_far = Window.partitionBy("source").orderBy("rank", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -84,8 +84,11 @@ def swaps(words: set[str], sentence: list[str]) -> Iterator[tuple[str, str]]:
                     yield term, other
 
 
-def train(rows: list[tuple[list[int], int]], pairs: list[tuple[int, int]], size: int, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Full-batch gradient descent with momentum on log loss + ridge + penalty on score changes of counterfactuals."""
+def train(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int]]], size: int, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Full-batch gradient descent with momentum on log loss + ridge + penalty on score changes of counterfactuals.
+
+    ``pairs``: the features that a swap takes away, and those that it brings.
+    """
     y = np.array([t for _, t in rows], float)
     counts = np.where(y > 0, TOXIC_WEIGHT, 1.0)
     lengths = np.array([len(x) for x, _ in rows])
@@ -93,17 +96,19 @@ def train(rows: list[tuple[list[int], int]], pairs: list[tuple[int, int]], size:
     row = np.repeat(np.arange(len(rows)), lengths)
     w, bias = np.zeros(size), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     step, v, vb = 0.3, np.zeros(size), 0.0
-    a, b = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+    flat = [(i, n, sign) for n, p in enumerate(pairs) for sign, side in ((1.0, p[0]), (-1.0, p[1])) for i in side]
+    where, pair, sign = (np.array([f[k] for f in flat], t) for k, t in ((0, np.int64), (1, np.int64), (2, float)))
     seen = np.bincount(at, minlength=size) / len(y)
-    touched = np.bincount(a, minlength=size) + np.bincount(b, minlength=size) if pairs else 0
-    rate = 1 / (0.25 * seen * max(1.0, np.sqrt(lengths.mean() or 1)) + RIDGE + 4 * SWAP_PENALTY * touched / len(y) + 0.002)
+    widest = max((len(a) + len(b) for a, b in pairs), default=0)
+    touched = np.bincount(where, minlength=size)
+    rate = 1 / (0.25 * seen * max(1.0, np.sqrt(lengths.mean() or 1)) + RIDGE + widest * SWAP_PENALTY * touched / len(y) + 0.002)
     for _ in range(steps):
         z = bias + np.bincount(row, w[at], len(y))
         error = counts * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         g = np.bincount(at, error[row], size) / len(y) + RIDGE * w
-        if pairs:  # a swap changes the score by the difference of two weights
-            change = SWAP_PENALTY * (w[a] - w[b]) / len(y)
-            g += np.bincount(a, change, size) - np.bincount(b, change, size)
+        if len(where):
+            change = SWAP_PENALTY * np.bincount(pair, sign * w[where], len(pairs)) / len(y)
+            g += np.bincount(where, sign * change[pair], size)
         v = 0.9 * v - step * rate * g
         vb = 0.9 * vb - step * error.mean()
         w, bias = w + v, bias + vb
@@ -143,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     sent = spark.sparkContext.broadcast(index)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, words_known = sent.value, Known(sent.value)
+        words_known = Known(sent.value)
         for b in batches:
             xs, swapped = [], []
             for text in b["text"]:
@@ -153,10 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
                 if not words.isdisjoint(terms):
                     for sentence in SENTENCES.split(text.lower()):
                         pairs.update(swaps(words, WORDS.findall(sentence)))
-                swapped.append([i for p in sorted(pairs) for i in (known[p[0]], known[p[1]])])
+                swapped.append([list(words_known[w]) for p in sorted(pairs) for w in p])
             yield pd.DataFrame({"x": xs, "toxic": b["toxic"], "swapped": swapped})
 
-    got = rows.mapInPandas(features, "x array<int>, toxic int, swapped array<int>").collect()  # at most ``sample`` short lists
+    got = rows.mapInPandas(features, "x array<int>, toxic int, swapped array<array<int>>").collect()  # at most ``sample`` short lists
     got.sort(key=lambda r: (r["x"], r["toxic"]))  # the same sums whatever order the rows come in
     pairs = [p for r in got for p in zip(r["swapped"][::2], r["swapped"][1::2], strict=True)][:PAIRS]
     weights, bias = train([(r["x"], int(r["toxic"] != 0)) for r in got], pairs, len(index))
