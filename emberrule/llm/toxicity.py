@@ -23,6 +23,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Labelled documents that training reads at most, and features in the model.
 SAMPLE, VOCABULARY = 20_000, 3_000
+#: Standard deviations by which a feature's share of toxic documents must differ from the overall one.
+SIGNIFICANT = 2.5
 #: Lengths of the beginnings of words that are features too, so that inflected and compound words count.
 BEGINNINGS = (5, 7)
 #: The score from which a text counts as toxic.
@@ -142,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     share = bad_total / total
     words = rows.mapInPandas(count, "word string, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     z = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
-    best = words.filter("n >= 3").orderBy(z.desc(), "word").limit(vocabulary).select("word").collect()
+    best = words.filter((F.col("n") >= 3) & (z >= SIGNIFICANT)).orderBy(z.desc(), "word").limit(vocabulary).select("word").collect()
     terms = [t for kind in IDENTITY for t in kind]
     index = {w: i for i, w in enumerate(dict.fromkeys([r["word"] for r in best] + terms))}
     sent = spark.sparkContext.broadcast(index)
