@@ -242,7 +242,7 @@ def ranked(rules: list[Rule], sources: SourceMap) -> DataFrame:
         )
     every = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("session_id").orderBy(F.desc("salience"), F.desc("recency"), "place", "handles")
-    return every.withColumn("seq", F.row_number().over(order)).select("session_id", "rule_id", "handles", "seq")
+    return every.withColumn("seq", F.row_number().over(order).cast("long")).select("session_id", "rule_id", "handles", "seq")
 
 
 __all__ = ["Facts", "Matches", "SourceMap", "emitted", "matches", "ranked", "value_column"]
