@@ -87,6 +87,9 @@ def suffix_order(data: np.ndarray, hashes: PrefixHashes, segment: np.ndarray, st
     size = np.searchsorted(segment, segment, side="right") - first
     place = order - first
     width, widest = 1, int(size.max()) if n else 0
+    eight = np.zeros(n, np.uint64)  # the first bytes as a number, which settle most comparisons
+    for i in range(8):
+        eight = (eight << np.uint64(8)) | data[start + i]
     while width < widest:
         part = place // width
         other = (part ^ 1) * width
@@ -94,18 +97,20 @@ def suffix_order(data: np.ndarray, hashes: PrefixHashes, segment: np.ndarray, st
         high = np.minimum(other + width, size)
         base = low.copy()
         right = (part & 1).astype(bool)
-        at = start[order]
+        at, head = start[order], eight[order]
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
                 break
             mid = (low[open_] + high[open_]) // 2
-            mine, theirs = at[open_], at[first[open_] + mid]
+            beside = first[open_] + mid
+            before = head[beside] < head[open_]
+            tie = np.flatnonzero(head[beside] == head[open_])
+            mine, theirs = at[open_[tie]], at[beside[tie]]
             agree = common(hashes, theirs, mine, most)
-            full = agree == most
             last = np.minimum(agree, most - 1)
             less = data[theirs + last] < data[mine + last]
-            before = np.where(full, right[open_], less)  # equal ones keep their order
+            before[tie] = np.where(agree == most, right[open_[tie]], less)  # equal ones keep their order
             low[open_] = np.where(before, mid + 1, low[open_])
             high[open_] = np.where(before, high[open_], mid)
         target = first + (part // 2) * 2 * width + (place - part * width) + (low - base)
@@ -135,7 +140,7 @@ def equal_windows(data: np.ndarray, segment: np.ndarray, start: np.ndarray, leng
 
 
 # Blocks of columns travel as bytes, each byte place together so that they compress.
-_COLUMNS = (("name", "<u4"), ("run", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("low", "<u4"), ("high", "<u4"))
+_COLUMNS = (("name", "<u4"), ("run", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("low", "<u4"), ("more", "<u1"))
 
 
 def _write(columns: dict[str, np.ndarray], kinds: tuple = _COLUMNS) -> bytes:
@@ -233,7 +238,7 @@ def _first_round(rows: DataFrame, buckets: int) -> DataFrame:
                 chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
                 cuts = np.flatnonzero(np.diff(bucket[chosen], prepend=-1))
                 for part in np.split(chosen, cuts[1:]) if len(chosen) else []:
-                    c = {"name": r["name"][part] & np.uint64(0xFFFFFFFF), "run": r["run"][part], "doc": doc[part], "tag": tag[part], "low": r["low"][part], "high": r["high"][part]}
+                    c = {"name": r["name"][part] & np.uint64(0xFFFFFFFF), "run": r["run"][part], "doc": doc[part], "tag": tag[part], "low": r["low"][part], "more": (r["high"] - r["low"])[part]}
                     out.append((int(bucket[part[0]]), known, _write(c)))
             yield pd.DataFrame(out, columns=["bucket", "known", "blob"])
 
@@ -242,9 +247,10 @@ def _first_round(rows: DataFrame, buckets: int) -> DataFrame:
         known = b["known"].to_numpy(bool)
         if known.any():
             k = _read_all(b["blob"][known])
-            frames.append(_frame(np.full(len(k["doc"]), -1), k["doc"], k["tag"], k["low"], k["high"]))
+            frames.append(_frame(np.full(len(k["doc"]), -1), k["doc"], k["tag"], k["low"], k["low"].astype(np.int64) + k["more"]))
         if not known.all():
             c = _read_all(b["blob"][~known])
+            c["high"] = c["low"].astype(np.int64) + c.pop("more")
             order = np.lexsort((c["doc"], c["run"], c["name"]))
             c = {k: v[order] for k, v in c.items()}
             new_name = np.ones(len(order), bool)
