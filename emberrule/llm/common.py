@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 #: Rows up to which a summary table (one row a source, a partition, ...) may be broadcast.
 BROADCAST_ROWS = 20_000
-#: Pieces into which the rows of one key are dealt where a key may be hot.
+#: Pieces at least into which the rows of one key are dealt where a key may be hot.
 SALTS = 64
 
 
@@ -51,10 +51,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def hash_sample(df: DataFrame, hash_: Column, n: int, most: int) -> DataFrame:
+    """About ``most`` rows, and hardly ever more, of ``n`` whose hashes differ: those below an edge. No rows are ranked."""
+    if n <= most:
+        return df
+    share = max(0.0, most - 4 * most**0.5) / n
+    return df.filter(hash_ < F.lit(-(2**63) + int(share * 2**64)))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to shared storage and read it back: lineage ends, and lost executors cost nothing."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -83,7 +91,8 @@ def attach_group(rows: DataFrame, keys: list[str], seed: str, partial: list[Colu
     Groups are first summed by (keys, salt) with ``partial``, then by keys with ``final`` over the partial
     columns. A group's result goes back once to each of its salts, so that no task gets a whole group.
     """
-    salted = rows.withColumn("__salt", salt(seed))
+    pieces = max(SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = rows.withColumn("__salt", salt(seed, pieces))
     parts = salted.groupBy(*keys, "__salt").agg(*partial)
     whole = parts.groupBy(*keys).agg(*final, F.collect_list("__salt").alias("__salts"))
     back = whole.withColumn("__salt", F.explode("__salts")).drop("__salts")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import hash_sample, text_of
 
 # Elements by kind, as the HTML standard and common usage have them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -180,13 +180,15 @@ def extract(page: str, weights: dict[str, dict[str, float]] | None = None) -> st
 def extract_pages(pages: DataFrame, sample: int = 512) -> DataFrame:
     """One row for each row of ``pages``: page_id, url, text, n_chars.
 
-    Weights are learnt from at most ``sample`` pages with an article element, the first in the order of a hash of
-    their id; without any, fixed ones are used. Null or empty html, and pages without text, give an empty text. Unclosed
+    Weights are learnt from at most ``sample`` different pages with an article element, those of least hash; without any,
+    fixed ones are used. Null or empty html, and pages without text, give an empty text. Unclosed
     tags, comments and cut-off pages are read to their end. Repeated rows give repeated rows. No rows give no rows. Other columns
     are ignored.
     """
-    labelled = pages.filter(F.col("html").contains("<article")).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html"))
-    weights = fit(r["html"] for r in labelled.select("html").limit(sample).collect())
+    labelled = pages.filter(F.col("html").contains("<article")).select(F.xxhash64("html").alias("h"), "html")
+    n = labelled.select("h").distinct().count()
+    chosen = hash_sample(labelled, F.col("h"), n, sample).distinct().collect()
+    weights = fit(r["html"] for r in sorted(chosen)[:sample])
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import hash_sample, text_of
 
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -26,7 +26,7 @@ SAMPLE, VOCABULARY = 20_000, 3_000
 #: Standard deviations by which a feature's share of toxic documents must differ from the overall one.
 SIGNIFICANT = 2.5
 #: Lengths of the beginnings of words that are features too, so that inflected and compound words count.
-BEGINNINGS = (5, 7)
+BEGINNINGS = (4, 5, 7)
 #: The score from which a text counts as toxic.
 THRESHOLD = 0.5
 #: Counterfactuals kept, and the weight of their penalty and of the weights' squares.
@@ -118,14 +118,15 @@ def train(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[i
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
-    """Learn from at most ``sample`` labelled documents, the first in the order of a hash of their id, whole texts each.
+    """Learn from at most ``sample`` labelled documents, those of least hash of their id, whole texts each.
 
     The bound is on labelled rows; the driver gets a few numbers for each. Labels that are null, of documents that
     don't exist or without text teach nothing; without both labels every text scores alike.
     """
     spark: SparkSession = docs.sparkSession
-    chosen = labels.filter("toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # at most ``sample`` pairs of numbers
+    given = labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic").distinct()
+    chosen = sorted(hash_sample(given, F.xxhash64("doc_id"), given.count(), sample).collect())[:sample]
+    chosen = spark.createDataFrame(chosen, given.schema)  # at most ``sample`` pairs of numbers
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
