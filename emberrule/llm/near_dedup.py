@@ -4,8 +4,8 @@ A text is the sequence of its runs of five words, each labelled with how often i
 the few of least hash and keeps them in text order, so it agrees for texts that share the runs in the same order.
 Texts whose sketches agree in a band are candidates; an alignment within a band of diagonals decides.
 
-Groups may be huge. A bucket's members are compared with its first member, not with each other; those
-that differ from it go on into smaller buckets by further hashes until few enough are left for all their pairs.
+Groups may be huge. A bucket's members are compared with three leaders, not with each other; those that
+differ from all three go on into smaller buckets by further hashes until few enough are left for all their pairs.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ from .fingerprints import SHINGLE, WordHashes, mix64, shingle_hashes
 SIMILARITY = 0.8
 #: Sketches of a text, and runs in each: of pairs at 0.8, one in 30,000 agrees in no sketch.
 SKETCHES, MINIMA = 20, 4
-#: Further single minima, by which buckets are split.
-SPLITS = 12
+#: Further single minima, by which large buckets are split: first in so many ways at once, each by two of them, then
+#: again by two more.
+SPLITS, WAYS = 24, 4
 #: Members of a bucket up to which all their pairs are compared.
-FEW = 6
+FEW = 16
 
 _SEEDS = mix64(np.arange(1, 2 * SKETCHES + SPLITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD, _FLIP, _SPLIT = _SEEDS[:SKETCHES] | np.uint64(1), _SEEDS[SKETCHES : 2 * SKETCHES], _SEEDS[2 * SKETCHES :] | np.uint64(1)
@@ -106,18 +107,19 @@ def components(edges: DataFrame) -> DataFrame:
     taken by salted parts.
     """
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    while True:
+
+    def open_() -> bool:  # a node has two roots, or a root has one
+        twice = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        return not twice.isEmpty() or not e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+
+    while open_():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = attach_group(both, ["u"], "v", [F.min("v").alias("m")], [F.min("m").alias("m")]).withColumn("m", F.least("u", "m"))
         large = least.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = attach_group(large, ["u"], "v", [F.min("v").alias("m")], [F.min("m").alias("m")])
         small = least.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = materialise(small.filter("u <> v").distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -168,6 +170,24 @@ def _verified(pairs: DataFrame, runs: DataFrame, least: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").mapInPandas(check, "a long, b long")
 
 
+def _sized(members: DataFrame) -> DataFrame:
+    """Members (bucket, rep, n, score) of buckets with others in them, with the bucket's size and its leaders.
+
+    The first leader is the member of highest score, two more are drawn by hashes.
+    """
+    keys = {"h1": -F.col("score"), "h2": F.xxhash64(F.lit(1), "rep"), "h3": F.xxhash64(F.lit(2), "rep")}
+    heads = [F.min(F.struct(k.alias("k"), "rep", "n")).alias(h) for h, k in keys.items()]
+    sized = attach_group(
+        members,
+        ["bucket"],
+        "rep",
+        [F.count(F.lit(1)).alias("c"), *heads],
+        [F.sum("c").alias("size"), *(F.min(h).alias(h) for h in keys)],
+    )
+    leader = [F.struct(F.col(f"{h}.rep").alias("rep"), F.col(f"{h}.n").alias("n")) for h in keys]
+    return sized.filter("size > 1").select("bucket", "rep", "n", "score", "size", F.array_distinct(F.array(*leader)).alias("leaders"))
+
+
 def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``docs``: doc_id, group_id, group_size, kept, text_key.
 
@@ -182,50 +202,45 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     firsts = made.join(rows.filter("rid = rep").select("rid"), "rid", "left_semi").filter("n > 0")
     firsts = firsts.select(F.col("rid").alias("rep"), "n", "keys", "splits")
     members = firsts.select("rep", "n", F.explode("keys").alias("bucket"))
-    sized = attach_group(
-        members,
-        ["bucket"],
-        "rep",
-        [F.count(F.lit(1)).alias("c"), F.min("rep").alias("r")],
-        [F.sum("c").alias("size"), F.min("r").alias("first")],
-    ).filter("size > 1")
-    sized = materialise(sized)
+    # A text that shares buckets with many is near the middle of its group, and a good one to compare the others with.
+    counted = attach_group(members, ["bucket"], "rep", [F.count(F.lit(1)).alias("c")], [F.sum("c").alias("size")]).filter("size > 1")
+    counted = materialise(counted)
+    scores = counted.groupBy("rep").agg(F.sum("size").alias("score"))
+    sized = materialise(_sized(counted.drop("size").join(scores, "rep")))
     involved = rows.join(sized.select("rep").distinct(), "rep", "left_semi").filter("rid = rep").select("rep", "doc_id", "text_key")
     runs = materialise(_runs_of(docs, involved))
     splits = materialise(firsts.join(sized.filter(F.col("size") > FEW).select("rep").distinct(), "rep", "left_semi").select("rep", "splits"))
     links: DataFrame | None = None
-    for turn in range(SPLITS + 1):
+    for turn in range(1 + (SPLITS - 2 * WAYS) // 2 + 1):
         few = sized.filter(F.col("size") <= FEW)
         # All pairs of a few: at most FEW - 1 partners for each row.
         lists = few.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("l"))
         one = lists.select("l", F.posexplode("l").alias("i", "a"))
         two = one.select("a", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("b"))
         pairs = two.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
-        pairs = pairs.filter(F.least("na", "nb") >= F.greatest("na", "nb") * least).select("a", "b")
-        many = sized.filter((F.col("size") > FEW) & (F.col("rep") != F.col("first")))
-        stars = many.select(F.col("first").alias("a"), F.col("rep").alias("b"))
-        pairs = pairs.unionByName(stars).distinct()
-        if links is not None:
-            pairs = pairs.join(links, ["a", "b"], "left_anti")
+        many = sized.filter(F.col("size") > FEW)
+        stars = many.select("rep", "n", F.explode("leaders").alias("l")).filter("rep <> l.rep")
+        stars = stars.select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"))
+        pairs = pairs.unionByName(stars).filter(F.least("na", "nb") >= F.greatest("na", "nb") * least).select("a", "b").distinct()
         found = materialise(_verified(pairs, runs, least))
         links = found if links is None else links.unionByName(found)
-        rest = many.join(links, (F.col("first") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti")
-        rest = rest.select("bucket", "rep", "n")
-        if turn < SPLITS:
-            rest = rest.join(splits, "rep").withColumn("bucket", F.xxhash64("bucket", F.element_at("splits", turn + 1)))
-        sized = attach_group(
-            rest.select("bucket", "rep", "n"),
-            ["bucket"],
-            "rep",
-            [F.count(F.lit(1)).alias("c"), F.min("rep").alias("r")],
-            [F.sum("c").alias("size"), F.min("r").alias("first")],
-        ).filter("size > 1")
-        sized = materialise(sized)
+        # Who is like none of the leaders goes on; the first leader has been compared with all.
+        like = found.groupBy("b").agg(F.collect_set("a").alias("like"))  # leaders and members of few: some hundred at most
+        rest = many.filter(F.col("rep") != F.col("leaders")[0]["rep"]).join(like, F.col("rep") == F.col("b"), "left")
+        rest = rest.filter("like is null or not arrays_overlap(transform(leaders, x -> x.rep), like)")
+        rest = rest.select("bucket", "rep", "n", "score").join(splits, "rep")
+        at = 2 * (WAYS + turn - 1)  # the first of this turn's two minima
+        if turn == 0:
+            ways = [F.xxhash64("bucket", F.lit(w), F.get("splits", F.lit(2 * w)), F.get("splits", F.lit(2 * w + 1))) for w in range(WAYS)]
+            rest = rest.withColumn("bucket", F.explode(F.array(*ways)))
+        elif at < SPLITS:
+            rest = rest.withColumn("bucket", F.xxhash64("bucket", F.get("splits", F.lit(at)), F.get("splits", F.lit(at + 1))))
+        sized = materialise(_sized(rest.select("bucket", "rep", "n", "score")))
         if sized.isEmpty():
             break
-    else:  # what no hash has split: its pairs, block by block
+    else:  # what no hash has split: its pairs
         x, y = sized.select("bucket", F.col("rep").alias("a")), sized.select("bucket", F.col("rep").alias("b"))
-        pairs = x.join(y, "bucket").filter("a < b").select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
+        pairs = x.join(y, "bucket").filter("a < b").select("a", "b").distinct()
         links = links.unionByName(materialise(_verified(pairs, runs, least)))
     roots = components(links)
     grouped = rows.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
