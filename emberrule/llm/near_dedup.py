@@ -4,8 +4,8 @@ A text is the sequence of its runs of five words, each labelled with how often i
 the few of least hash and keeps them in text order, so it agrees for texts that share the runs in the same order.
 Texts whose sketches agree in a band are candidates; an alignment within a band of diagonals decides.
 
-Groups may be huge. A bucket's members are compared with three leaders, not with each other; those that
-differ from all three go on into smaller buckets by further hashes until few enough are left for all their pairs.
+Groups may be huge. A large bucket's members are compared with three leaders first. Then only pairs of different
+groups matter, and a filter that loses none finds those that can be alike.
 """
 
 from __future__ import annotations
@@ -26,14 +26,13 @@ from .fingerprints import SHINGLE, WordHashes, mix64, shingle_hashes
 SIMILARITY = 0.8
 #: Sketches of a text, and runs in each: of pairs at 0.8, one in 30,000 agrees in no sketch.
 SKETCHES, MINIMA = 20, 4
-#: Further single minima, by which large buckets are split: first in so many ways at once, each by two of them, then
-#: again by two more.
-SPLITS, WAYS = 24, 4
 #: Members of a bucket up to which all their pairs are compared.
 FEW = 16
+#: Rows of a run that one piece of the search for pairs across groups takes, about.
+SHARE = 256
 
-_SEEDS = mix64(np.arange(1, 2 * SKETCHES + SPLITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_ODD, _FLIP, _SPLIT = _SEEDS[:SKETCHES] | np.uint64(1), _SEEDS[SKETCHES : 2 * SKETCHES], _SEEDS[2 * SKETCHES :] | np.uint64(1)
+_SEEDS = mix64(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_ODD, _FLIP = _SEEDS[:SKETCHES] | np.uint64(1), _SEEDS[SKETCHES:]
 
 
 def labelled_runs(text: str, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -50,11 +49,11 @@ def labelled_runs(text: str, hashes: WordHashes, size: int = SHINGLE) -> np.ndar
     return mix64(runs + mix64(nth) * (nth > 0))
 
 
-def sketch(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bands' keys and the single minima of a non-empty sequence of labelled runs."""
+def sketch(runs: np.ndarray) -> np.ndarray:
+    """The bands' keys of a non-empty sequence of labelled runs."""
     n = len(runs)
     take = min(MINIMA, n)
-    keys, value = np.empty(SKETCHES, np.uint64), np.empty(SPLITS, np.uint64)
+    keys = np.empty(SKETCHES, np.uint64)
     step = max(1, 2_000_000 // n)  # so many sketches at once, for bounded memory
     for at in range(0, SKETCHES, step):
         rows = slice(at, min(at + step, SKETCHES))
@@ -65,10 +64,7 @@ def sketch(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for i in range(take):
             key = mix64(key * np.uint64(0xD1342543DE82EF95) + chosen[:, i])
         keys[rows] = key
-    for at in range(0, SPLITS, step):
-        rows = slice(at, min(at + step, SPLITS))
-        value[rows] = (runs[None, :] * _SPLIT[rows, None]).min(axis=1)
-    return keys, value
+    return keys
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -128,18 +124,16 @@ def _sketches(docs: DataFrame) -> DataFrame:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
-            cls, n, keys, splits = [], [], [], []
+            cls, n, keys = [], [], []
             for text in b["text"]:
                 runs = labelled_runs(text, hashes)
                 cls.append(hashlib.blake2b(runs.tobytes(), digest_size=16).digest())
                 n.append(len(runs))
-                k, s = sketch(runs) if len(runs) else (np.zeros(0, np.uint64),) * 2
-                keys.append(k.view(np.int64))
-                splits.append(s.view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "cls": cls, "n": n, "keys": keys, "splits": splits})
+                keys.append((sketch(runs) if len(runs) else np.zeros(0, np.uint64)).view(np.int64))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "cls": cls, "n": n, "keys": keys})
 
     rows = docs.select("doc_id", F.xxhash64(text_of("text")).alias("text_key"), text_of("text").alias("text"))
-    schema = f"doc_id {kind}, text_key long, cls binary, n long, keys array<long>, splits array<long>"
+    schema = f"doc_id {kind}, text_key long, cls binary, n long, keys array<long>"
     return rows.mapInPandas(make, schema).withColumn("rid", F.monotonically_increasing_id())
 
 
@@ -188,6 +182,38 @@ def _sized(members: DataFrame) -> DataFrame:
     return sized.filter("size > 1").select("bucket", "rep", "n", "score", "size", F.array_distinct(F.array(*leader)).alias("leaders"))
 
 
+def _across(reps: DataFrame, roots: DataFrame, runs: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of ``reps`` (rep, n) in different groups of ``roots`` that can be alike, and some that aren't.
+
+    Texts alike share a run among the first of either, in one order of all runs, if so many are taken that the others
+    are too few. The order is by rareness, so that runs which a large group shares come last. Of two groups that share a run at
+    least one isn't the largest that has it: only rows of the others look for partners.
+    """
+    reps = reps.join(roots, reps["rep"] == roots["node"], "left").select("rep", "n", F.coalesce("root", "rep").alias("root"))
+    reps = attach_group(reps, ["root"], "rep", [F.count(F.lit(1)).alias("c")], [F.sum("c").alias("mass")])
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(len(b)):
+                row = b.iloc[at]
+                yield pd.DataFrame({"run": np.frombuffer(row["runs"], np.int64)}).assign(rep=row["rep"], n=row["n"], root=row["root"], mass=row["mass"])
+
+    rows = materialise(reps.join(runs, "rep").select("rep", "n", "root", "mass", "runs").mapInPandas(each, "run long, rep long, n long, root long, mass long"))
+    partial = [F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("mass", "root")).alias("top")]
+    rows = attach_group(rows, ["run"], "rep", partial, [F.sum("c").alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("top").alias("top")])
+    runs_of = F.array_sort(F.collect_list(F.struct("df", "run", (F.col("lo") != F.col("hi")).alias("mixed"), F.col("top.root").alias("top"))))
+    lists = rows.filter("df > 1").groupBy("rep", "n", "root").agg(runs_of.alias("l"))  # the others come first and have no partners
+    first = lists.select("rep", "n", "root", F.posexplode("l").alias("i", "r"), (F.col("n") - F.size("l")).alias("alone"))
+    first = first.select("rep", "n", "root", "r.*", (F.col("alone") + F.col("i")).alias("at"))
+    first = first.filter(F.col("mixed") & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9)))
+    first = materialise(first.withColumn("parts", F.ceil(F.col("df") / SHARE).cast("int")).drop("df", "mixed"))
+    x = first.filter("root <> top").select("run", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_x") for c in ("rep", "n", "root", "at")))
+    y = first.select("run", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "n", "root", "at")
+    need = (F.col("n") + F.col("n_x")) * (least / (1 + least)) - 1e-9
+    pairs = x.join(y, ["run", "part"]).filter((F.col("root") != F.col("root_x")) & (F.least(F.col("n") - F.col("at"), F.col("n_x") - F.col("at_x")) >= need))
+    return pairs.select(F.least("rep", "rep_x").alias("a"), F.greatest("rep", "rep_x").alias("b")).distinct()
+
+
 def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``docs``: doc_id, group_id, group_size, kept, text_key.
 
@@ -200,7 +226,7 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = attach_group(made.select("rid", "doc_id", "text_key", "cls"), ["cls"], "rid", [F.min("rid").alias("r")], [F.min("r").alias("rep")])
     rows = materialise(rows.drop("cls"))
     firsts = made.join(rows.filter("rid = rep").select("rid"), "rid", "left_semi").filter("n > 0")
-    firsts = firsts.select(F.col("rid").alias("rep"), "n", "keys", "splits")
+    firsts = firsts.select(F.col("rid").alias("rep"), "n", "keys")
     members = firsts.select("rep", "n", F.explode("keys").alias("bucket"))
     # A text that shares buckets with many is near the middle of its group, and a good one to compare the others with.
     counted = attach_group(members, ["bucket"], "rep", [F.count(F.lit(1)).alias("c")], [F.sum("c").alias("size")]).filter("size > 1")
@@ -209,40 +235,22 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sized = materialise(_sized(counted.drop("size").join(scores, "rep")))
     involved = rows.join(sized.select("rep").distinct(), "rep", "left_semi").filter("rid = rep").select("rep", "doc_id", "text_key")
     runs = materialise(_runs_of(docs, involved))
-    splits = materialise(firsts.join(sized.filter(F.col("size") > FEW).select("rep").distinct(), "rep", "left_semi").select("rep", "splits"))
-    links: DataFrame | None = None
-    for turn in range(1 + (SPLITS - 2 * WAYS) // 2 + 1):
-        few = sized.filter(F.col("size") <= FEW)
-        # All pairs of a few: at most FEW - 1 partners for each row.
-        lists = few.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("l"))
-        one = lists.select("l", F.posexplode("l").alias("i", "a"))
-        two = one.select("a", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("b"))
-        pairs = two.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
-        many = sized.filter(F.col("size") > FEW)
-        stars = many.select("rep", "n", F.explode("leaders").alias("l")).filter("rep <> l.rep")
-        stars = stars.select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"))
-        pairs = pairs.unionByName(stars).filter(F.least("na", "nb") >= F.greatest("na", "nb") * least).select("a", "b").distinct()
-        found = materialise(_verified(pairs, runs, least))
-        links = found if links is None else links.unionByName(found)
-        # Who is like none of the leaders goes on; the first leader has been compared with all.
-        like = found.groupBy("b").agg(F.collect_set("a").alias("like"))  # leaders and members of few: some hundred at most
-        rest = many.filter(F.col("rep") != F.col("leaders")[0]["rep"]).join(like, F.col("rep") == F.col("b"), "left")
-        rest = rest.filter("like is null or not arrays_overlap(transform(leaders, x -> x.rep), like)")
-        rest = rest.select("bucket", "rep", "n", "score").join(splits, "rep")
-        at = 2 * (WAYS + turn - 1)  # the first of this turn's two minima
-        if turn == 0:
-            ways = [F.xxhash64("bucket", F.lit(w), F.get("splits", F.lit(2 * w)), F.get("splits", F.lit(2 * w + 1))) for w in range(WAYS)]
-            rest = rest.withColumn("bucket", F.explode(F.array(*ways)))
-        elif at < SPLITS:
-            rest = rest.withColumn("bucket", F.xxhash64("bucket", F.get("splits", F.lit(at)), F.get("splits", F.lit(at + 1))))
-        sized = materialise(_sized(rest.select("bucket", "rep", "n", "score")))
-        if sized.isEmpty():
-            break
-    else:  # what no hash has split: its pairs
-        x, y = sized.select("bucket", F.col("rep").alias("a")), sized.select("bucket", F.col("rep").alias("b"))
-        pairs = x.join(y, "bucket").filter("a < b").select("a", "b").distinct()
-        links = links.unionByName(materialise(_verified(pairs, runs, least)))
-    roots = components(links)
+    few = sized.filter(F.col("size") <= FEW)
+    # All pairs of a few: at most FEW - 1 partners for each row.
+    lists = few.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("l"))
+    one = lists.select("l", F.posexplode("l").alias("i", "a"))
+    two = one.select("a", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("b"))
+    pairs = two.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+    many = sized.filter(F.col("size") > FEW)
+    stars = many.select("rep", "n", F.explode("leaders").alias("l")).filter("rep <> l.rep")
+    stars = stars.select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"))
+    pairs = pairs.unionByName(stars).filter(F.least("na", "nb") >= F.greatest("na", "nb") * least)
+    roots = components(materialise(_verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), runs, least)))
+    reps = many.select("rep", "n").distinct()
+    if not reps.isEmpty():
+        found = materialise(_verified(_across(reps, roots, runs, least), runs, least))
+        if not found.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
     grouped = rows.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     grouped = attach_group(

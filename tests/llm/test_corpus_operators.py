@@ -255,6 +255,23 @@ def test_near_dedup_of_large_groups_and_shared_passages(spark):
     assert by_id((r["doc_id"], r["group_id"], r["group_size"]) for r in got) == plain_near(rows)
 
 
+def sparse_group():
+    """Texts of one origin most of whose similarities lie near 0.8: many large buckets, few links in each."""
+    origin, rng, rows = words(7, 600).split(), random.Random(11), []
+    for i in range(300):
+        w = list(origin)
+        for j in rng.sample(range(600), 8):
+            w[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_near_dedup_loses_no_link_in_large_buckets_of_sparse_links(spark):
+    rows = sparse_group()
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert by_id((r["doc_id"], r["group_id"], r["group_size"]) for r in got) == plain_near(rows)
+
+
 def test_alignment_is_the_longest_common_order():
     rng = random.Random(5)
     for _ in range(200):
