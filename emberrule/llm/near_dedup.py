@@ -167,9 +167,9 @@ def _verified(pairs: DataFrame, runs: DataFrame, least: float) -> DataFrame:
 def _sized(members: DataFrame) -> DataFrame:
     """Members (bucket, rep, n, score) of buckets with others in them, with the bucket's size and its leaders.
 
-    The first leader is the member of highest score, two more are drawn by hashes.
+    The first leader is the member of highest score, two more are drawn by hashes, others in each bucket.
     """
-    keys = {"h1": -F.col("score"), "h2": F.xxhash64(F.lit(1), "rep"), "h3": F.xxhash64(F.lit(2), "rep")}
+    keys = {"h1": -F.col("score"), "h2": F.xxhash64(F.lit(1), "bucket", "rep"), "h3": F.xxhash64(F.lit(2), "bucket", "rep")}
     heads = [F.min(F.struct(k.alias("k"), "rep", "n")).alias(h) for h, k in keys.items()]
     sized = attach_group(
         members,

@@ -272,6 +272,20 @@ def test_near_dedup_loses_no_link_in_large_buckets_of_sparse_links(spark):
     assert by_id((r["doc_id"], r["group_id"], r["group_size"]) for r in got) == plain_near(rows)
 
 
+def test_near_dedup_leaders_differ_by_bucket_and_settled_rows_stay_in_the_search(spark):
+    members = [(b, r, 10, 100 - r) for b in range(6) for r in range(40)]
+    sized = near_dedup._sized(spark.createDataFrame(members, "bucket long, rep long, n long, score long"))
+    assert len({tuple(r["leaders"]) for r in sized.select("bucket", "leaders").distinct().collect()}) == 6
+    leader = np.arange(1, 101, dtype=np.uint64)
+    settled, other = (np.concatenate([np.arange(at, 101, dtype=np.uint64), own + np.arange(at - 1, dtype=np.uint64)]) for at, own in ((10, 1000), (16, 1000)))
+    assert near_dedup.aligned(leader, settled) >= 0.8 > near_dedup.aligned(leader, other) and near_dedup.aligned(settled, other) >= 0.8
+    runs = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate((leader, settled, other))], "rep long, runs binary")
+    roots = spark.createDataFrame([(1, 0)], "node long, root long")
+    reps = spark.createDataFrame([(i, 100) for i in range(3)], "rep long, n long")
+    got = {(r["a"], r["b"]) for r in near_dedup._across(reps, roots, runs, 0.8).collect()}
+    assert (1, 2) in got and (0, 1) not in got
+
+
 def test_alignment_is_the_longest_common_order():
     rng = random.Random(5)
     for _ in range(200):
