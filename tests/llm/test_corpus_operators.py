@@ -286,6 +286,14 @@ def test_near_dedup_leaders_differ_by_bucket_and_settled_rows_stay_in_the_search
     assert (1, 2) in got and (0, 1) not in got
 
 
+def test_near_dedup_misses_no_pair_of_short_texts():
+    hashes = fingerprints.WordHashes()
+    for seed in range(600):
+        w = words(seed, 9).split()
+        a, b = (near_dedup.labelled_runs(" ".join(x), hashes) for x in (w[:8], w))
+        assert near_dedup.aligned(a, b) >= 0.8 and np.intersect1d(near_dedup.bucket_keys(a), near_dedup.bucket_keys(b)).size
+
+
 def test_alignment_is_the_longest_common_order():
     rng = random.Random(5)
     for _ in range(200):
