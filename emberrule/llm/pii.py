@@ -1,9 +1,9 @@
 """Sanitisation of personal data by information theory (DataFrame functions only).
 
 Patterns find the protected entities: e-mail addresses, IP addresses, card and phone numbers. How strongly a term
-near an entity reveals it is estimated from the whole corpus: the pointwise mutual information of the two, as a
-share of the entity's own information. A term that gives away most of it is removed, one that gives away much is
-generalised, in the places where it stands near the entity.
+in a document with an entity reveals it is estimated from the whole corpus: the pointwise mutual information of the two, as a
+share of the entity's own information, from smoothed counts of documents. A term that gives away most of it is removed, one
+that gives away much is generalised, wherever it stands in the documents that hold the entity.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import attach_group, materialise, text_of
 
 # The patterns. They match what their plain forms match; where giving characters back can't help they don't
 # give any back, so that no text takes more than a few looks at each character.
@@ -22,10 +22,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Kinds in the order of the results; a text without the mark has no match.
 KINDS = (("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, None), ("phone", PHONE, "+"))
 ADDED = ("generalise", "remove")
-#: Code points around an entity in which terms count; documents in which both must stand together; the shares of an
-#: entity's information from which a term is generalised or removed.
-NEAR, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.75, 0.9
-TERM = r"\p{L}+"
+#: The shares of an entity's information from which a term is generalised or removed.
+GENERALISE, REMOVE = 0.75, 0.9
+#: Documents in which a term is taken to stand besides those counted, where the entity is as frequent as anywhere.
+PRIOR = 2.0
+#: Words, numbers and identifiers, of two characters at least.
+TERM = r"[\p{L}\p{N}]{2,}"
 _BLOCK = 64
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -57,7 +59,7 @@ def _sum(x: Column) -> Column:
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """rid, doc_id and found: an array of (kind, start, end, value, before, after, cut_before, cut_after) for each row."""
+    """rid, doc_id and found: an array of (kind, start, end, value) for each row; its text where there are any."""
     df = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_of("text").alias("text"))
     none = F.array().cast("array<string>")
     matches = []
@@ -69,7 +71,7 @@ def find_entities(docs: DataFrame) -> DataFrame:
             found = F.when(F.contains("text", F.lit(mark)), found).otherwise(none)
         matches.append(found.alias(f"m_{kind}"))
     df = df.select("*", *matches)
-    df = df.select("*", *(F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).alias(f"g_{k}") for k, p, _ in KINDS)).drop("text")
+    df = df.select("*", *(F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).alias(f"g_{k}") for k, p, _ in KINDS))
     names = [k for k, _, _ in KINDS]
     df = df.select("*", *(F.zip_with(F.slice(f"g_{k}", 1, F.size(f"m_{k}")), f"m_{k}", lambda g, m: F.length(g) + F.length(m)).alias(f"l_{k}") for k in names))
 
@@ -82,60 +84,72 @@ def find_entities(docs: DataFrame) -> DataFrame:
     def spans(n: int, k: str) -> Column:
         def one(value: Column, i: Column) -> Column:
             block = F.floor(i / _BLOCK).cast("int")
-            gap, after = F.get(f"g_{k}", i), F.get(f"g_{k}", i + 1)
+            gap = F.get(f"g_{k}", i)
             start = _sum(F.slice(f"b_{k}", F.lit(1), block)) + _sum(F.slice(f"l_{k}", block * _BLOCK + 1, i % _BLOCK)) + F.length(gap)
             return F.struct(
                 F.lit(n).alias("kind"),
                 start.cast("long").alias("start"),
                 (start + F.length(value)).cast("long").alias("end"),
                 F.lower(value).alias("value"),
-                F.right(gap, F.lit(NEAR)).alias("before"),
-                F.left(after, F.lit(NEAR)).alias("after"),
-                (F.length(gap) > NEAR).alias("cut_before"),
-                (F.length(after) > NEAR).alias("cut_after"),
             )
 
         return F.filter(F.transform(f"m_{k}", one), lambda s: _valid(k, s["value"]))
 
-    return df.select("rid", "doc_id", F.concat(*(spans(n, k) for n, k in enumerate(names))).alias("found"))
+    df = df.select("rid", "doc_id", "text", F.concat(*(spans(n, k) for n, k in enumerate(names))).alias("found"))
+    return df.select("rid", "doc_id", "found", F.when(F.size("found") > 0, F.col("text")).alias("text"))
 
 
-def _terms(found: DataFrame) -> DataFrame:
-    """rid, kind, value, term, start, end of the terms near each entity; words that the window cuts don't count."""
-    near = found.select("rid", F.explode("found").alias("f"))
-    side = F.array(
-        F.struct(F.col("f.before").alias("s"), (F.col("f.start") - F.length("f.before")).alias("at"), F.col("f.cut_before").alias("first"), F.lit(False).alias("last")),
-        F.struct(F.col("f.after").alias("s"), F.col("f.end").alias("at"), F.lit(False).alias("first"), F.col("f.cut_after").alias("last")),
-    )
-    near = near.select("rid", F.col("f.kind").alias("kind"), F.col("f.value").alias("value"), F.explode(side).alias("c"))
-    near = near.select("*", F.regexp_extract_all("c.s", F.lit(TERM), F.lit(0)).alias("w"), F.split("c.s", TERM, -1).alias("g"))
+def _words(text: str | Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """rid, term, start, end of every term of ``texts`` (rid, text)."""
+    df = texts.select("rid", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("w"), F.split("text", TERM, -1).alias("g")).filter(F.size("w") > 0)
+    df = df.select("rid", "w", "g", F.zip_with(F.slice("g", F.lit(1), F.size("w")), "w", lambda g, w: F.length(g) + F.length(w)).alias("l"))
+    last = F.floor((F.size("w") - 1) / _BLOCK).cast("int")
+    df = df.select("*", F.transform(F.sequence(F.lit(0), last), lambda j: _sum(F.slice("l", j * _BLOCK + 1, _BLOCK))).alias("b"))
+    df = df.select("*", F.posexplode("b").alias("j", "own"))
+    at = F.col("j") * _BLOCK + 1
+    df = df.select("rid", _sum(F.slice("b", F.lit(1), F.col("j"))).alias("base"), F.slice("w", at, F.lit(_BLOCK)).alias("w"), F.slice("l", at, F.lit(_BLOCK)).alias("l"))
 
     def place(word: Column, i: Column) -> Column:
-        start = _sum(F.transform(F.slice("g", F.lit(1), i + 1), F.length)) + _sum(F.transform(F.slice("w", F.lit(1), i), F.length))
-        return F.struct(F.lower(word).alias("term"), start.alias("start"), F.length(word).alias("n"))
+        end = F.col("base") + _sum(F.slice("l", F.lit(1), i + 1))
+        return F.struct(F.lower(word).alias("term"), (end - F.length(word)).cast("long").alias("start"), end.cast("long").alias("end"))
 
-    near = near.select("rid", "kind", "value", "c", F.explode(F.transform("w", place)).alias("t"))
-    whole = ~(F.col("c.first") & (F.col("t.start") == 0)) & ~(F.col("c.last") & (F.col("t.start") + F.col("t.n") == F.length("c.s")))
-    start = (F.col("c.at") + F.col("t.start")).alias("start")
-    return near.filter(whole & (F.col("t.n") >= 3)).select("rid", "kind", "value", "t.term", start, (start + F.col("t.n")).alias("end"))
+    return df.select("rid", F.explode(F.transform("w", place)).alias("t")).select("rid", "t.*")
 
 
-def disclosing(docs: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
-    """kind, value, term, action: what stands near an entity in SUPPORT documents and reveals enough of it.
+def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """rid, term, action: the terms of a document that reveal enough of an entity in it.
 
-    Counts are of documents, over all of them; each count is summed within tasks before it moves.
+    Counts are of documents, over all of them; each count is summed within tasks before it moves. Terms too frequent to
+    reveal an entity even if they stood in all its documents are left out before pairs are made. Entities of one document
+    have the same counts with each of its terms, so that one stands for all of them.
     """
-    pairs = near.select("rid", "kind", "value", "term").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("both"))
-    pairs = materialise(pairs.filter(F.col("both") >= SUPPORT))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    entities = found.select(F.explode(F.array_distinct(F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), f["value"].alias("value"))))).alias("e"))
-    n_entity = entities.groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("n_entity"))
     n = found.count()
-    share = F.log(F.lit(float(n)) * F.col("both") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(float(n)) / F.col("n_entity"))
-    known = pairs.join(n_term, "term").join(n_entity, ["kind", "value"]).filter(F.col("n_entity") < n).withColumn("share", share)
-    action = F.when(F.col("share") >= REMOVE, 1).otherwise(0).cast("int")
-    return known.filter(F.col("share") >= GENERALISE).select("kind", "value", "term", action.alias("action"))
+    entities = found.select("rid", F.explode(F.array_distinct(F.transform("found", lambda f: F.struct(f["kind"], f["value"])))).alias("e"))
+    entities = entities.select("rid", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"))
+    entities = attach_group(entities, ["kind", "value"], "rid", [F.count(F.lit(1)).alias("c")], [F.sum("c").alias("n_entity")]).filter(F.col("n_entity") < n)
+    e = F.when(F.col("n_entity") > 1, F.sha2(F.concat_ws(":", "kind", "value"), 256)).otherwise(F.lit(""))
+    held = materialise(entities.select("rid", e.alias("e"), "n_entity").distinct())
+    most = held.agg(F.max("n_entity")).first()[0]
+    if most is None:
+        return found.select("rid", F.lit("").alias("term"), F.lit(0).alias("action")).filter("false")
+    words = docs.select(F.explode(F.array_distinct(_words(text_of("text")))).alias("term"))
+    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+
+    def share(both: Column, n_entity: Column) -> Column:
+        of_term = (both + PRIOR * n_entity / float(n)) / (F.col("n_term") + PRIOR)
+        return 1 + F.log(of_term) / F.log(F.lit(float(n)) / n_entity)
+
+    n_term = n_term.filter(share(F.least(F.lit(most), "n_term"), F.lit(most)) >= GENERALISE)
+    terms = found.filter(F.size("found") > 0).select("rid", F.explode(F.array_distinct(_words("text"))).alias("term"))
+    pairs = terms.join(n_term, "term").join(held, "rid").filter(share(F.least("n_entity", "n_term"), F.col("n_entity")) >= GENERALISE)
+    many = attach_group(pairs.filter("n_entity > 1"), ["e", "term"], "rid", [F.count(F.lit(1)).alias("c")], [F.sum("c").alias("both")])
+    one = pairs.filter("n_entity = 1").withColumn("both", F.lit(1).cast("long"))
+    known = many.unionByName(one).withColumn("share", share(F.col("both"), F.col("n_entity"))).filter(F.col("share") >= GENERALISE)
+    return known.groupBy("rid", "term").agg(F.max(F.when(F.col("share") >= REMOVE, 1).otherwise(0)).cast("int").alias("action"))
 
 
 def _joined(spans: Column, names: tuple[str, ...]) -> Column:
@@ -151,13 +165,13 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     count as documents of their own. No rows give no rows. Other columns are ignored.
     """
     found = materialise(find_entities(docs))
-    near = materialise(_terms(found))
-    act = disclosing(docs, near, found)
-    hits = near.join(act, ["kind", "value", "term"]).groupBy("rid", "start", "end").agg(F.max("action").alias("action"))
+    act = materialise(disclosing(docs, found))
+    texts = found.join(act.select("rid").distinct(), "rid", "left_semi").select("rid", "text")
+    hits = _places(texts).join(act, ["rid", "term"])
     hits = hits.groupBy("rid").agg(
         F.array_sort(F.collect_list(F.struct((F.col("action") + len(KINDS)).alias("kind"), "start", "end"))).alias("hits")
     )
-    rows = found.join(hits.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r"), "left")
+    rows = found.drop("text").join(hits.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r"), "left")
     base = F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     rows = rows.select("doc_id", base.alias("base"), F.coalesce("hits", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")).alias("hits"))
     apart = F.filter("hits", lambda h: ~F.exists("base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))

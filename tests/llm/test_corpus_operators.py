@@ -422,6 +422,17 @@ def test_terms_that_reveal_an_entity(spark):
     assert "bob@" not in clean and "zorblax" not in clean and "[EMAIL]" in clean
 
 
+def test_terms_that_reveal_an_entity_seen_once_or_far_away(spark):
+    rows = [(0, f"Qy zorblax9 {'and so on ' * 40} mail to ann@corp.org {'and so on ' * 40} zorblax9")]
+    rows += [(100 + i, f"the note writes and so on mail to {i % 7} Qx corp org ann") for i in range(300)]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["spans"].split(",") for r in found.collect()}
+    text = rows[0][1]
+    far = [f"{m.start()}:{m.end()}" for m in re.finditer("zorblax9|Qy", text)]
+    assert len(far) == 3 and [s.split(":", 1)[1] for s in got[0][1:]] == far and all(s.split(":")[0] in pii.ADDED for s in got[0][1:])
+    assert all(s == [""] for i, s in got.items() if i)
+
+
 def test_html(spark):
     page = '<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Top</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy</div><article><h1>Head &amp; line</h1><p>One  <b>bo</b>ld\n text &lt;here&gt;.<br>Two<p>Three<aside>side</aside><form>f</form><ul><li>item</li></ul></article><div class="comments"><p>nice post really nice</p></div><footer>&copy; me</footer></body></html>'
     want = "Head & line One bold text <here>. Two Three item"
