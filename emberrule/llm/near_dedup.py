@@ -4,8 +4,9 @@ A text is the sequence of its runs of five words, each labelled with how often i
 the few of least hash and keeps them in text order, so it agrees for texts that share the runs in the same order.
 Texts whose sketches agree in a band are candidates; an alignment within a band of diagonals decides.
 
-Groups may be huge. A large bucket's members are compared with three leaders first. Then only pairs of different
-groups matter, and a filter that loses none finds those that can be alike.
+Groups may be huge. In each turn a text is compared with one leader of its buckets, links are contracted, and buckets
+whose texts are all of one group are done. What is left, pairs of different groups that share a bucket, is
+compared in full in small buckets; in large ones a filter that loses none finds those that can be alike.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,10 +31,14 @@ SKETCHES, MINIMA = 20, 4
 #: Runs below which a text is compared with all that share a run with it; a text alike has at most SHORT_PEER.
 SHORT = 10
 SHORT_PEER = int((SHORT - 1) / SIMILARITY + 1e-9)
-#: Members of a bucket up to which all their pairs are compared.
+#: Turns in which each text is compared with a leader.
+TURNS = 2
+#: Members of a bucket up to which all their pairs of different groups are compared; larger ones go to the search by runs.
 FEW = 16
 #: Rows of a run that one piece of the search for pairs across groups takes, about.
 SHARE = 256
+#: Pairs of a text that one copy of its runs serves, about.
+PIECE = 64
 
 _SEEDS = mix64(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD, _FLIP = _SEEDS[:SKETCHES] | np.uint64(1), _SEEDS[SKETCHES:]
@@ -161,45 +167,59 @@ def _runs_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInPandas(make, "rep long, runs binary").dropDuplicates(["rep"])
 
 
+def _dealt(pairs: DataFrame, key: str, other: str) -> DataFrame:
+    """``pairs`` with ``part_<key>``: the pairs of one text dealt into pieces of about PIECE."""
+    sized = attach_group(pairs, [key], other, [F.count(F.lit(1)).alias("__c")], [F.sum("__c").alias("__n")])
+    piece = F.pmod(F.xxhash64(F.lit(5), other), F.ceil(F.col("__n") / PIECE)).cast("int")
+    return sized.withColumn(f"part_{key}", piece).drop("__n")
+
+
 def _verified(pairs: DataFrame, runs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that are alike."""
+    """The pairs (a, b) that are alike. A text may be in any number of pairs: each piece of them gets one copy of its runs."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             ok = [aligned(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) >= least for x, y in zip(p["x"], p["y"], strict=True)]
             yield p.loc[ok, ["a", "b"]]
 
-    x = runs.select(F.col("rep").alias("a"), F.col("runs").alias("x"))
-    y = runs.select(F.col("rep").alias("b"), F.col("runs").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInPandas(check, "a long, b long")
+    dealt = materialise(_dealt(_dealt(pairs.select("a", "b"), "a", "b"), "b", "a"))
+    both = dealt
+    for key, out in (("b", "y"), ("a", "x")):
+        at = [key, f"part_{key}"]
+        copies = dealt.select(*at).distinct().join(runs.select(F.col("rep").alias(key), F.col("runs").alias(out)), key)
+        both = both.join(copies, at)
+    return both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
 
-def _sized(members: DataFrame) -> DataFrame:
-    """Members (bucket, rep, n, score) of buckets with others in them, with the bucket's size and its leaders.
+def _open(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """Members (bucket, rep, n, score) of buckets that hold texts of several groups, with their root, the bucket's size and a leader.
 
-    The first leader is the member of highest score, two more are drawn by hashes, others in each bucket.
+    The first turn's leader is the member that shares buckets with most others, near the middle of its group; later ones are drawn by bucket.
     """
-    keys = {"h1": -F.col("score"), "h2": F.xxhash64(F.lit(1), "bucket", "rep"), "h3": F.xxhash64(F.lit(2), "bucket", "rep")}
-    heads = [F.min(F.struct(k.alias("k"), "rep", "n")).alias(h) for h, k in keys.items()]
-    sized = attach_group(
-        members,
-        ["bucket"],
-        "rep",
-        [F.count(F.lit(1)).alias("c"), *heads],
-        [F.sum("c").alias("size"), *(F.min(h).alias(h) for h in keys)],
-    )
-    leader = [F.struct(F.col(f"{h}.rep").alias("rep"), F.col(f"{h}.n").alias("n")) for h in keys]
-    return sized.filter("size > 1").select("bucket", "rep", "n", "score", "size", F.array_distinct(F.array(*leader)).alias("leaders"))
+    if roots is None:
+        now = members.withColumn("root", F.col("rep"))
+    else:
+        now = members.join(roots, members["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
+    key = -F.col("score") if turn == 0 else F.xxhash64(F.lit(turn), "bucket", "rep")
+    head = F.struct(key.alias("key"), "rep", "n", "root")
+    partial = [F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(head).alias("h")]
+    final = [F.sum("c").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("h").alias("leader")]
+    return attach_group(now, ["bucket"], "rep", partial, final).filter("lo <> hi").drop("lo", "hi")
+
+
+def _joined(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The roots after the links (a, b) of ``found``."""
+    old = [] if roots is None else [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+    return components(reduce(DataFrame.unionByName, old, found))
 
 
-def _across(reps: DataFrame, roots: DataFrame, runs: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of ``reps`` (rep, n) in different groups of ``roots`` that can be alike, and some that aren't.
+def _across(reps: DataFrame, runs: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of ``reps`` (rep, n, root) with different roots that can be alike, and some that aren't.
 
     Texts alike share a run among the first of either, in one order of all runs, if so many are taken that the others
     are too few. The order is by rareness, so that runs which a large group shares come last. Of two groups that share a run at
     least one isn't the largest that has it: only rows of the others look for partners.
     """
-    reps = reps.join(roots, reps["rep"] == roots["node"], "left").select("rep", "n", F.coalesce("root", "rep").alias("root"))
     reps = attach_group(reps, ["root"], "rep", [F.count(F.lit(1)).alias("c")], [F.sum("c").alias("mass")])
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,31 +256,32 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = attach_group(made.select("rid", "doc_id", "text_key", "cls"), ["cls"], "rid", [F.min("rid").alias("r")], [F.min("r").alias("rep")])
     rows = materialise(rows.drop("cls"))
     firsts = made.join(rows.filter("rid = rep").select("rid"), "rid", "left_semi").filter("n > 0")
-    firsts = firsts.select(F.col("rid").alias("rep"), "n", "keys")
-    members = firsts.select("rep", "n", F.explode("keys").alias("bucket"))
-    # A text that shares buckets with many is near the middle of its group, and a good one to compare the others with.
+    members = firsts.select(F.col("rid").alias("rep"), "n", F.explode("keys").alias("bucket"))
     counted = attach_group(members, ["bucket"], "rep", [F.count(F.lit(1)).alias("c")], [F.sum("c").alias("size")]).filter("size > 1")
     counted = materialise(counted)
     scores = counted.groupBy("rep").agg(F.sum("size").alias("score"))
-    sized = materialise(_sized(counted.drop("size").join(scores, "rep")))
-    involved = rows.join(sized.select("rep").distinct(), "rep", "left_semi").filter("rid = rep").select("rep", "doc_id", "text_key")
+    involved = rows.join(scores.select("rep"), "rep", "left_semi").filter("rid = rep").select("rep", "doc_id", "text_key")
     runs = materialise(_runs_of(docs, involved))
-    few = sized.filter(F.col("size") <= FEW)
+    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * least
+    left, roots = counted.drop("size").join(scores, "rep"), None
+    for turn in range(TURNS):
+        left = materialise(_open(left, roots, turn))
+        stars = left.filter((F.col("root") != F.col("leader.root")) & near(F.col("n"), F.col("leader.n")))
+        stars = stars.groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("l")).select(F.col("l.rep").alias("a"), "b")
+        roots = _joined(roots, materialise(_verified(materialise(stars), runs, least)))
+        left = left.select("bucket", "rep", "n", "score")
+    left = materialise(_open(left, roots, TURNS))
+    few = left.filter(F.col("size") <= FEW)
     # All pairs of a few: at most FEW - 1 partners for each row.
-    lists = few.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("l"))
+    lists = few.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "root"))).alias("l"))
     one = lists.select("l", F.posexplode("l").alias("i", "a"))
-    two = one.select("a", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("b"))
-    pairs = two.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
-    many = sized.filter(F.col("size") > FEW)
-    stars = many.select("rep", "n", F.explode("leaders").alias("l")).filter("rep <> l.rep")
-    stars = stars.select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"))
-    pairs = pairs.unionByName(stars).filter(F.least("na", "nb") >= F.greatest("na", "nb") * least)
-    roots = components(materialise(_verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), runs, least)))
-    reps = many.select("rep", "n").distinct()
+    two = one.select("a", F.explode(F.expr("filter(slice(l, i + 2, size(l)), x -> x.root <> a.root)")).alias("b"))
+    pairs = two.filter(near(F.col("a.n"), F.col("b.n"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    found = _verified(materialise(pairs), runs, least)
+    reps = left.filter(F.col("size") > FEW).select("rep", "n", "root").distinct()
     if not reps.isEmpty():
-        found = materialise(_verified(_across(reps, roots, runs, least), runs, least))
-        if not found.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        found = found.unionByName(_verified(materialise(_across(reps, runs, least)), runs, least))
+    roots = _joined(roots, materialise(found))
     grouped = rows.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     grouped = attach_group(

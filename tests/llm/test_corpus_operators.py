@@ -272,20 +272,42 @@ def test_near_dedup_loses_no_link_in_large_buckets_of_sparse_links(spark):
     assert by_id((r["doc_id"], r["group_id"], r["group_size"]) for r in got) == plain_near(rows)
 
 
+def test_near_dedup_of_drifting_versions_and_a_group_of_a_third(spark):
+    rng, version, rows = random.Random(3), words(8, 300).split(), []
+    for i in range(400):  # each version changes the one before: few are like any one leader
+        for j in rng.sample(range(300), 2):
+            version[j] = f"v{i}x{j}"
+        rows.append(" ".join(version))
+    rows += variants(words(9, 80), 300, 4) + [words(5000 + i, 60) for i in range(200)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert by_id((r["doc_id"], r["group_id"], r["group_size"]) for r in got) == plain_near(rows)
+
+
 def test_near_dedup_leaders_differ_by_bucket_and_settled_rows_stay_in_the_search(spark):
-    members = [(b, r, 10, 100 - r) for b in range(6) for r in range(40)]
-    sized = near_dedup._sized(spark.createDataFrame(members, "bucket long, rep long, n long, score long"))
-    assert len({tuple(r["leaders"]) for r in sized.select("bucket", "leaders").distinct().collect()}) == 6
+    members = spark.createDataFrame([(b, r, 10, 100 - r) for b in range(6) for r in range(40)], "bucket long, rep long, n long, score long")
+    assert [r["rep"] for r in near_dedup._open(members, None, 0).select("leader.rep").distinct().collect()] == [0]
+    assert near_dedup._open(members, None, 1).select("leader.rep").distinct().count() > 3
+    whole = spark.createDataFrame([(i, 0) for i in range(1, 40)], "node long, root long")
+    assert near_dedup._open(members, whole, 1).count() == 0  # buckets of one group are done
+    assert near_dedup._open(members, whole.filter("node < 39"), 1).count() == 240
     leader = np.arange(1, 101, dtype=np.uint64)
     settled, other = (np.concatenate([np.arange(at, 101, dtype=np.uint64), own + np.arange(at - 1, dtype=np.uint64)]) for at, own in ((10, 1000), (16, 1000)))
     assert near_dedup.aligned(leader, settled) >= 0.8 > near_dedup.aligned(leader, other) and near_dedup.aligned(settled, other) >= 0.8
     runs = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate((leader, settled, other))], "rep long, runs binary")
-    roots = spark.createDataFrame([(1, 0)], "node long, root long")
-    reps = spark.createDataFrame([(i, 100) for i in range(3)], "rep long, n long")
-    got = {(r["a"], r["b"]) for r in near_dedup._across(reps, roots, runs, 0.8).collect()}
+    reps = spark.createDataFrame([(0, 100, 0), (1, 100, 0), (2, 100, 2)], "rep long, n long, root long")
+    got = {(r["a"], r["b"]) for r in near_dedup._across(reps, runs, 0.8).collect()}
     assert (1, 2) in got and (0, 1) not in got
 
 
+def test_pairs_of_one_text_are_dealt(spark):
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 1000)], "a long, b long")
+    sizes = near_dedup._dealt(pairs, "a", "b").groupBy("a", "part_a").count().collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) < 2 * near_dedup.PIECE
+    assert near_dedup._dealt(pairs, "b", "a").filter("part_b <> 0").isEmpty()
+
+
 def test_near_dedup_misses_no_pair_of_short_texts():
     hashes = fingerprints.WordHashes()
     for seed in range(600):
