@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling (DataFrame functions only).
 
 Each source's target says how often its words are expected in the mix. The whole part is taken as certain
-copies of every document. For the rest, documents are ranked by their random odds divided by their inclusion
-odds, and the sample is the front of that order whose words make up the rest of the target.
+copies of every document. For the rest, documents have unequal inclusion probabilities: in proportion to the square root of
+their words, so that a target takes fewer documents than an equal draw would, and those for which that exceeds one are
+certain. They are ranked by their random odds divided by their inclusion odds, and the sample is the front of
+that order whose words make up the rest of the target.
 """
 
 from __future__ import annotations
@@ -41,17 +43,33 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> tuple[Dat
     return sources.select("source", "source_size", target.alias("target")), n
 
 
+def _levels(rows: DataFrame, targets: DataFrame, n: int) -> DataFrame:
+    """source and level: what the square root of a document's words is multiplied with for its inclusion probability.
+
+    Expected words make up the rest of the target, the largest documents being certain where the product passes one.
+    One row for each source and size goes into it.
+    """
+    sizes = rows.filter("size > 0").groupBy("source", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words"))
+    sizes = attach_small(sizes, targets.select("source", "rest"), "source", "size", n).filter("rest > 0")
+    root = F.sqrt(F.col("size").cast("double"))
+    order = Window.partitionBy("source").orderBy(F.col("size").desc())
+    larger = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    others = F.sum(F.col("words") * root).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    found = sizes.withColumn("level", (F.col("rest") - larger) / others).filter(F.col("level") * root < 1)
+    return found.groupBy("source").agg(F.max_by("level", "size").alias("level"))
+
+
 def mix_sources(
     docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, sizes: DataFrame | None = None
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, copies, taken, source_sha256.
 
     ``size`` is the number of words (null text: 0). Targets share the corpus's words by weight, each at most
-    ``most`` times its source's size, the excess reshared. A document is taken ``copies`` times, 0 to ``most``.
-    A source's words differ from its target by no more than the best single document could mend: after the
-    front of the order, one more document fills the gap if that brings the source nearer its target. Sources
-    without words have target 0 and take nothing; a null source is a source of its own, the last. Ties in the
-    order go by id. No rows give no rows. Other columns are ignored. Reruns agree.
+    ``most`` times its source's size, the excess reshared. A document is taken ``copies`` times, 0 to ``most``; one
+    without words only in whole copies. A source's words differ from its target by no more than the best single document
+    could mend: after the front of the order, one more document fills the gap if that brings the source nearer its
+    target. Sources without words have target 0 and take nothing; a null source is a source of its own, the last. Ties
+    in the order go by id, null ids first, then by any row. No rows give no rows. Other columns are ignored. Reruns agree.
     """
     unit = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("long") + 0.5) / F.lit(2.0**52)
     rows = sizes or materialise(
@@ -68,8 +86,15 @@ def mix_sources(
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole)
     targets = targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    levels = materialise(_levels(rows, targets, n).withColumnRenamed("source", "s"))
+    targets = materialise(targets.join(levels, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
     buckets = 1 << max(4, math.ceil(math.log2(max(2, rows.count())) / 2))  # as many buckets as rows in each
-    rows = rows.withColumn("bucket", F.floor(F.col("unit") * buckets).cast("long"))
+    chance = F.col("level") * F.sqrt(F.col("size").cast("double"))
+    # Random odds over inclusion odds; certain documents come first. Sources without a rest have no order, nor has what has no words.
+    rank = F.when(chance >= 1, 0.0).when(F.col("size") > 0, (F.col("unit") / (1 - F.col("unit"))) / (chance / (1 - chance)))
+    rows = attach_small(rows, targets.select("source", "level"), "source", "rid", n).withColumn("rank", rank).drop("level")
+    place = F.floor((1 - 1 / (1 + F.col("rank"))) * buckets)  # never falls where the rank rises
+    rows = materialise(rows.withColumn("bucket", F.coalesce(place, F.lit(buckets)).cast("long")))
     # Where in the order the front ends: sums by bucket, then the order itself within one bucket a source.
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(upto))
@@ -78,17 +103,14 @@ def mix_sources(
     info = materialise(
         targets.join(ends.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     )
-    share = F.col("rest") / F.col("source_size")
-    # Random odds over inclusion odds; a source without a rest, or without words, has no order.
-    rank = F.when(F.col("rest") > 0, (F.col("unit") / (1 - F.col("unit"))) / (share / (1 - share)))
     known = attach_small(rows, info, "source", "rid", n)
-    last = known.filter("bucket = `end` and rest > 0").withColumn("rank", rank)
+    last = known.filter("bucket = `end` and rest > 0")
     so_far = Window.partitionBy("source").orderBy("rank", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = last.withColumn("words", F.col("before") + F.sum("size").over(so_far)).filter("words <= rest")
     cut = cut.groupBy("source").agg(F.max("words").alias("words"), F.max(F.struct("rank", "doc_id", "rid")).alias("cut"))
     info = info.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     info = materialise(info.withColumn("gap", F.col("rest") - F.coalesce("words", "before", F.lit(0))))
-    known = attach_small(rows, info, "source", "rid", n).withColumn("rank", rank)
+    known = attach_small(rows, info, "source", "rid", n)
     front = (F.col("rest") > 0) & (
         F.col("end").isNull()
         | (F.col("bucket") < F.col("end"))

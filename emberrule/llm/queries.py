@@ -112,17 +112,28 @@ t as (
   select source, source_size, least(weight * level, cap::double) as target,
          case when source_size > 0 then floor(least(weight * level, cap::double) / source_size)::bigint else 0 end as whole
   from c, f),
-u as (
+z as (
+  select d.source, size, target - whole * source_size as rest, sum(size) as words, sqrt(size::double) as root
+  from d join t on d.source is not distinct from t.source where size > 0 group by all),
+l as (
+  select source, max_by(level, size) as level
+  from (select source, size, root, (rest - coalesce(sum(words) over (o rows between unbounded preceding and 1 preceding), 0))
+               / sum(words * root) over (o rows between current row and unbounded following) as level
+        from z where rest > 0 window o as (partition by source order by size desc))
+  where level * root < 1 group by source),
+r as (
   select d.*, t.source_size, t.target, t.whole, t.target - t.whole * t.source_size as rest,
-         sum(size) over (partition by d.source order by unit, doc_id rows unbounded preceding) as upto
-  from d join t on d.source is not distinct from t.source),
+         case when level * sqrt(size::double) >= 1 then 0
+              when size > 0 then (unit / (1 - unit)) / ((level * sqrt(size::double)) / (1 - level * sqrt(size::double))) end as rank
+  from d join t on d.source is not distinct from t.source left join l on d.source is not distinct from l.source),
+u as (select *, sum(size) over (partition by source order by rank nulls last, doc_id rows unbounded preceding) as upto from r),
 g as (
-  select *, rest > 0 and upto <= rest as front,
+  select *, rest > 0 and size > 0 and upto <= rest as front,
          rest - coalesce(max(case when upto <= rest then upto end) over (partition by source), 0) as gap
   from u),
 x as (
   select *, row_number() over (partition by source order by
-    case when not front and rest > 0 and size > 0 and abs(gap - size) < gap then abs(gap - size) end nulls last, unit, doc_id) as nth
+    case when not front and rest > 0 and size > 0 and abs(gap - size) < gap then abs(gap - size) end nulls last, rank, doc_id) as nth
   from g)
 select doc_id, size, source_size, target,
        size * (whole + case when front or (nth = 1 and not front and rest > 0 and size > 0 and abs(gap - size) < gap) then 1 else 0 end)::bigint as taken

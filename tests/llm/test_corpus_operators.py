@@ -94,6 +94,21 @@ def test_mixing(docs, empty, spark):
     assert mixing.mix_sources(spark.createDataFrame(small, "doc_id long, text string, source string")).count() == 2
 
 
+def test_mixing_draws_by_odds(spark):
+    """Of a source half of whose words are wanted the longer texts are likelier, and those too long for a chance below one are certain."""
+    rows = [(i, " ".join(["w"] * (1 if i % 2 else 16)), "a") for i in range(20_000)] + [(90_000, " ".join(["w"] * 9000), "a")]
+    rows += [(100_000 + i, " ".join(["v"] * 10), s) for s in ("b", "c") for i in range(1500)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("source = 'a'").collect()
+    size, target = got[0]["source_size"], got[0]["target"]
+    assert 0 < target < size
+    taken = {n: sum(r["copies"] for r in got if r["size"] == n) / sum(r["size"] == n for r in got) for n in (1, 16, 9000)}
+    assert taken[9000] == 1 and taken[16] > 2 * taken[1] > 0
+    rest = target - 9000
+    level = rest / (10_000 * 1 * 1 + 10_000 * 16 * 4)
+    assert taken[1] == pytest.approx(level, rel=0.15) and taken[16] == pytest.approx(4 * level, rel=0.08)  # three standard deviations
+    assert abs(sum(r["taken"] for r in got) - target) <= 8
+
+
 def test_mixing_without_broadcast(docs, monkeypatch):
     want = by_id(mixing.mix_sources(docs).collect())
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
