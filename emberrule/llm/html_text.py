@@ -1,8 +1,9 @@
 """Main text of web pages by the maximum-scoring run of tokens.
 
 A page is a sequence of words, which score positive, and tags, which score negative. How much each counts is
-learnt from labelled pages, those that mark their article as such. One linear scan finds the best contiguous run.
-Menus, forms and other parts that are never text score nothing and are left out wherever they stand.
+learnt from labelled pages, those that mark their article as such: tags by name, words by the element that holds them and
+by the nearest element around them that has a class or id. One linear scan finds the best contiguous run.
+Menus, forms and other parts that are never text are left out wherever they stand, with their tags.
 """
 
 from __future__ import annotations
@@ -41,32 +42,44 @@ MARKUP = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>|\Z)|[^>]*(?:>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)", re.S
 )
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
-#: Weights where no labelled page is at hand, and their range.
+#: Blocks that hold text for the element around them.
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption address br hr".split())
+DIGITS = re.compile(r"[0-9]+")
+#: Weights where no labelled page is at hand, and their range; a word's is negative where labelled pages have no article.
 PRIOR = {"tag": 1.5, "word": 1.0}
-LEAST_TAG, MOST_TAG, LEAST_WORD = 0.1, 4.0, 0.05
+LEAST_TAG, MOST_TAG, LEAST_WORD = 0.1, 10.0, -1.0
+#: Words that stand for the whole sample's mean beside those counted.
+FEW_WORDS = 20.0
+#: What it is worth, in words, that a block stands in the element that holds most of the run.
+BELONGS = 6.0
 
 
-def is_noise(name: str, attributes: str) -> bool:
-    if name in ASIDE:
-        return True
-    if len(attributes) < 3 or name in ("html", "body", "main", "article"):
-        return False
+def marks_of(name: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element is no text by its name or marks, and its class or id, digits left out, with its name."""
+    noise, place = name in ASIDE, ""
+    if noise or len(attributes) < 3:
+        return noise, place
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
+        if key in ("class", "id") and value.strip() and (not place or key == "class"):
+            place = f"{name}.{DIGITS.sub('', ' '.join(sorted(value.split())))}"
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key in ("class", "id", "role") and NOISE.search(value)):
-            return True
-    return False
+            noise = name not in ("html", "body", "main", "article") or noise
+    return noise, place
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, value, noise): kind is ``<`` or ``/`` for an opening or closing tag, else the element that holds the text."""
-    stack: list[tuple[str, bool]] = []  # open elements and whether they or one around them are noise
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(kind, value, noise, place): kind is ``<`` or ``/`` for an opening or closing tag, else the element that holds the text.
+
+    An opening tag is closed by its own closing tag, by that of an element around it, or by nothing if it is void.
+    """
+    stack: list[tuple[str, bool, str]] = []  # open elements, whether they or one around them are noise, and where they stand
     count: Counter[str] = Counter()
     at, end = 0, len(page)
 
     def shut(name: str) -> None:
         while stack:
-            top, _ = stack.pop()
+            top, _, _ = stack.pop()
             count[top] -= 1
             if top == name:
                 return
@@ -76,7 +89,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         upto = m.start() if m else end
         noise = bool(stack) and stack[-1][1]
         if upto > at:
-            yield stack[-1][0] if stack else "", page[at:upto], noise
+            yield stack[-1][0] if stack else "", page[at:upto], noise, stack[-1][2] if stack else ""
         if m is None:
             return
         at = m.end()
@@ -85,95 +98,151 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         name = m[2].lower()
         if m[1]:
             if count[name]:
-                noise = any(x == name and n for x, n in reversed(stack)) if noise else False
+                noise = any(x == name and n for x, n, _ in reversed(stack)) if noise else False
                 shut(name)
-            yield "/", name, noise
+            yield "/", name, noise, ""
             continue
         if name in CLOSES_P and count["p"]:
             shut("p")
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             shut(name)
-        noise = (bool(stack) and stack[-1][1]) or is_noise(name, m[3])
-        yield "<", name, noise
+        own, place = marks_of(name, m[3])
+        noise = (bool(stack) and stack[-1][1]) or own
+        yield "<", name, noise, place
         if name in RAW:
             close = RAW_END[name].search(page, at)
             at = close.start() if close else end
             if close:
                 at = page.find(">", at) + 1 or end
         elif name not in VOID and not m[3].endswith("/>"):
-            stack.append((name, noise))
+            stack.append((name, noise, place or (stack[-1][2] if stack else "")))
             count[name] += 1
 
 
 def fit(pages: Iterable[str]) -> dict[str, dict[str, float]]:
-    """Weights of tags and of words by the element that holds them, from pages with exactly one article element."""
-    inside, outside = {"tag": Counter(), "word": Counter()}, {"tag": Counter(), "word": Counter()}
+    """Weights of tags, and of words by element and by place, from pages with exactly one article element."""
+    kinds = ("tag", "word", "place")
+    inside, outside = {k: Counter() for k in kinds}, {k: Counter() for k in kinds}
     for page in pages:
         found = list(tokens(page))
-        if sum(k == "<" and v == "article" for k, v, _ in found) != 1:
+        if sum(k == "<" and v == "article" for k, v, *_ in found) != 1:
             continue
         within = False
-        for kind, value, noise in found:
+        for kind, value, noise, place in found:
             if kind in ("<", "/"):
                 within = within and not (kind == "/" and value == "article")
-                (inside if within and not noise else outside)["tag"][value] += 1
+                if not noise:
+                    (inside if within else outside)["tag"][value] += 1
                 within = within or (kind == "<" and value == "article")
-            else:
-                (inside if within and not noise else outside)["word"][kind] += len(value.split())
-    words = [sum(x["word"].values()) + 1 for x in (inside, outside)]
-    out: dict[str, dict[str, float]] = {"tag": {}, "word": {}}
-    for kind in out:
-        for name in inside[kind] | outside[kind]:
-            odds = math.log((inside[kind][name] + 0.5) / words[0]) - math.log((outside[kind][name] + 0.5) / words[1])
-            if kind == "tag":
-                out[kind][name] = min(MOST_TAG, max(LEAST_TAG, PRIOR["tag"] - odds))
-            else:
-                out[kind][name] = min(1.0, max(LEAST_WORD, 1 + odds / 4))
+            elif not noise:
+                n = len(value.split())
+                side = inside if within else outside
+                side["word"][kind] += n
+                side["place"][place] += n
+    words = [sum(x["word"].values()) for x in (inside, outside)]
+    out: dict[str, dict[str, float]] = {k: {} for k in kinds}
+    for kind in kinds:
+        for name in sorted(x for x in inside[kind] | outside[kind] if inside[kind][x] + outside[kind][x]):
+            rate = (inside[kind][name] + outside[kind][name]) / max(1, sum(words))  # what either side is taken to have where it has few words
+            odds = math.log((inside[kind][name] + FEW_WORDS * rate) / (words[0] + FEW_WORDS)) - math.log((outside[kind][name] + FEW_WORDS * rate) / (words[1] + FEW_WORDS))
+            out[kind][name] = min(MOST_TAG, max(LEAST_TAG, PRIOR["tag"] - odds)) if kind == "tag" else odds / 4
     return out
 
 
-def extract(page: str, weights: dict[str, dict[str, float]] | None = None) -> str:
-    """The text of the best run of blocks; blocks' white space is one space, and one space stands between blocks.
+class Block:
+    """A block of text: its pieces, words, score, what the tags before it cost, and the element that holds it."""
+
+    __slots__ = ("pieces", "words", "score", "cost", "holder")
+
+    def __init__(self, cost: float, holder: int):
+        self.pieces: list[str] = []
+        self.words, self.score, self.cost, self.holder = 0, 0.0, cost, holder
+
+
+def _blocks(page: str, weights: dict[str, dict[str, float]]) -> tuple[list[Block], dict[int, tuple[int, int]]]:
+    """The blocks of a page that have words and aren't noise, and of each element that holds some directly the first and last within it."""
+    tag, element, places = (weights.get(k, {}) for k in ("tag", "word", "place"))
+    blocks: list[Block] = []
+    opened: list[tuple[str, int, int]] = []  # open block elements: name, number, blocks before
+    count: Counter[str] = Counter()
+    ranges: dict[int, tuple[int, int]] = {}
+    number, cost, block = 0, 0.0, None
+    for kind, value, noise, place in tokens(page):
+        if kind not in ("<", "/"):
+            n = 0 if noise else len(value.split())
+            if not noise and (n or block):
+                if block is None:
+                    at = len(opened) - 1
+                    while at > 0 and opened[at][0] in PARAGRAPH:
+                        at -= 1
+                    block = Block(cost, opened[at][1] if opened else 0)
+                    blocks.append(block)
+                    cost = 0.0
+                weight = PRIOR["word"] + element.get(kind, 0.0) + places.get(place, 0.0)
+                block.pieces.append(value)
+                block.words += n
+                block.score += min(1.0, max(LEAST_WORD, weight)) * n - cost
+                cost = 0.0
+            continue
+        if value in BLOCK:
+            block = None
+            if kind == "<" and value not in VOID:
+                number += 1
+                opened.append((value, number, len(blocks)))
+                count[value] += 1
+            elif kind == "/" and count[value]:
+                while opened:
+                    name, own, before = opened.pop()
+                    count[name] -= 1
+                    ranges[own] = (before, len(blocks))
+                    if name == value:
+                        break
+        if not noise:
+            cost += tag.get(value, PRIOR["tag"])
+    ranges |= {own: (before, len(blocks)) for _, own, before in opened}
+    ranges[0] = (0, len(blocks))
+    return blocks, ranges
+
+
+def best_run(blocks: list[Block], ranges: dict[int, tuple[int, int]]) -> tuple[int, int]:
+    """The run of blocks of the highest score, then what follows and precedes it in the element that holds most of its words.
 
-    Where an article or main element holds most words of the run, the run becomes that element: a short last paragraph
-    behind a list isn't lost, and a heading before it isn't gained.
+    There a block joins if its words score positive and, with those between, make up for the tags but for BELONGS.
     """
-    tag, word = (weights or {}).get("tag", {}), (weights or {}).get("word", {})
-    blocks: list[list[str]] = [[]]
-    words = [0]  # by block
     sums, best, start, run = 0.0, 0.0, 0, (0, 0)
-    depth: Counter[str] = Counter()
-    opened: dict[str, int] = {}
-    ranges: list[tuple[str, int, int]] = []
-    for kind, value, noise in tokens(page):
-        if kind in ("<", "/"):
-            if value in BLOCK and blocks[-1]:
-                blocks.append([])
-                words.append(0)
-            if value in ("article", "main") and not noise:
-                if kind == "<":
-                    depth[value] += 1
-                    opened.setdefault(value, len(blocks) - 1)
-                elif depth[value]:
-                    depth[value] -= 1
-                    if not depth[value]:
-                        ranges.append((value, opened.pop(value), len(blocks) - 1))
-            sums -= tag.get(value, PRIOR["tag"])
-        elif not noise:
-            n = len(value.split())
-            blocks[-1].append(value)
-            words[-1] += n
-            sums += word.get(kind, PRIOR["word"]) * n
+    for i, b in enumerate(blocks):
+        sums -= b.cost
         if sums <= 0:
-            sums, start = 0.0, len(blocks) - 1
-        elif sums > best:
-            best, run = sums, (start, len(blocks))
-    ranges += [(name, x, len(blocks)) for name, x in opened.items()]
-    for name in ("main", "article"):  # the narrower one counts
-        held = [(sum(words[max(x, run[0]) : min(y, run[1])]), x, y) for n, x, y in ranges if n == name]
-        if held and 2 * max(held)[0] > sum(words[run[0] : run[1]]):
-            run = max(held)[1:]
-    texts = (" ".join(html.unescape("".join(b)).split()) for b in blocks[run[0] : run[1]])
+            sums, start = 0.0, i
+        sums += b.score
+        if sums > best:
+            best, run = sums, (start, i + 1)
+    low, high = run
+    held: Counter[int] = Counter()
+    for b in blocks[low:high]:
+        held[b.holder] += b.words
+    if not held:
+        return run
+    holder = min(held, key=lambda h: (-held[h], h))
+    first, last = ranges[holder]
+    sums = 0.0
+    for i in range(high, max(high, last)):
+        sums += blocks[i].score - blocks[i].cost
+        if blocks[i].score > 0 and sums + BELONGS > 0:
+            high, sums = i + 1, 0.0
+    sums = 0.0
+    for i in range(low - 1, min(low, first) - 1, -1):
+        sums += blocks[i].score - blocks[i + 1].cost
+        if blocks[i].score > 0 and sums + BELONGS > 0:
+            low, sums = i, 0.0
+    return low, high
+
+
+def extract(page: str, weights: dict[str, dict[str, float]] | None = None) -> str:
+    """The text of the best run of blocks; blocks' white space is one space, and one space stands between blocks."""
+    blocks, ranges = _blocks(page, weights or {})
+    low, high = best_run(blocks, ranges)
+    texts = (" ".join(html.unescape("".join(b.pieces)).split()) for b in blocks[low:high])
     return " ".join(t for t in texts if t)
 
 
