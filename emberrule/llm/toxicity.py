@@ -21,7 +21,7 @@ from .common import hash_sample, text_of
 
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
-#: Labelled documents that training reads at most, and features in the model.
+#: Labelled documents that training reads at most, and features in the model at most, those of the strongest difference.
 SAMPLE, VOCABULARY = 20_000, 3_000
 #: Standard deviations by which a feature's share of toxic documents must differ from the overall one.
 SIGNIFICANT = 2.5
@@ -29,11 +29,11 @@ SIGNIFICANT = 2.5
 BEGINNINGS = (4, 5, 7)
 #: The score from which a text counts as toxic.
 THRESHOLD = 0.5
-#: Counterfactuals kept, and the weight of their penalty and of the weights' squares.
-PAIRS, SWAP_PENALTY, RIDGE = 20_000, 10.0, 3e-4
+#: The weight of the counterfactuals' penalty and of the weights' squares.
+SWAP_PENALTY, RIDGE = 10.0, 3e-4
 #: How much more a toxic document counts in training, being rarer.
 TOXIC_WEIGHT = 2.0
-# Identity terms by kind; the first of each kind is a neutral word.
+# English identity terms by kind; the first of each kind is a neutral word.
 IDENTITY = (
     ("people", "women", "men", "girls", "boys", "woman", "man", "transgender", "nonbinary"),
     ("believers", "muslims", "christians", "jews", "hindus", "buddhists", "atheists", "sikhs", "catholics"),
@@ -86,10 +86,13 @@ def swaps(words: set[str], sentence: list[str]) -> Iterator[tuple[str, str]]:
                     yield term, other
 
 
-def train(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int]]], size: int, steps: int = 400) -> tuple[np.ndarray, float]:
+Swap = tuple[tuple[int, ...], tuple[int, ...]]
+
+
+def train(rows: list[tuple[list[int], int]], swapped: Counter[Swap], size: int, steps: int = 400) -> tuple[np.ndarray, float]:
     """Full-batch gradient descent with momentum on log loss + ridge + penalty on score changes of counterfactuals.
 
-    ``pairs``: the features that a swap takes away, and those that it brings.
+    ``swapped``: how often a swap of features occurs, those that go and those that come; there are no more kinds than identity terms allow.
     """
     y = np.array([t for _, t in rows], float)
     counts = np.where(y > 0, TOXIC_WEIGHT, 1.0)
@@ -98,18 +101,20 @@ def train(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[i
     row = np.repeat(np.arange(len(rows)), lengths)
     w, bias = np.zeros(size), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     step, v, vb = 0.3, np.zeros(size), 0.0
+    pairs = sorted(swapped)
+    times = np.array([swapped[p] for p in pairs], float)
     flat = [(i, n, sign) for n, p in enumerate(pairs) for sign, side in ((1.0, p[0]), (-1.0, p[1])) for i in side]
     where, pair, sign = (np.array([f[k] for f in flat], t) for k, t in ((0, np.int64), (1, np.int64), (2, float)))
     seen = np.bincount(at, minlength=size) / len(y)
     widest = max((len(a) + len(b) for a, b in pairs), default=0)
-    touched = np.bincount(where, minlength=size)
+    touched = np.bincount(where, times[pair], size)
     rate = 1 / (0.25 * seen * max(1.0, np.sqrt(lengths.mean() or 1)) + RIDGE + widest * SWAP_PENALTY * touched / len(y) + 0.002)
     for _ in range(steps):
         z = bias + np.bincount(row, w[at], len(y))
         error = counts * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         g = np.bincount(at, error[row], size) / len(y) + RIDGE * w
         if len(where):
-            change = SWAP_PENALTY * np.bincount(pair, sign * w[where], len(pairs)) / len(y)
+            change = SWAP_PENALTY * times * np.bincount(pair, sign * w[where], len(pairs)) / len(y)
             g += np.bincount(where, sign * change[pair], size)
         v = 0.9 * v - step * rate * g
         vb = 0.9 * vb - step * error.mean()
@@ -120,7 +125,9 @@ def train(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[i
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
     """Learn from at most ``sample`` labelled documents, those of least hash of their id, whole texts each.
 
-    The bound is on labelled rows; the driver gets a few numbers for each. Labels that are null, of documents that
+    The bound is on labelled rows; the driver gets a few numbers for each. Features are the identity terms and the at most
+    ``vocabulary`` words and beginnings in three documents or more whose share of toxic ones differs most from the
+    overall share. All swaps of the sample count. Labels that are null, of documents that
     don't exist or without text teach nothing; without both labels every text scores alike.
     """
     spark: SparkSession = docs.sparkSession
@@ -166,8 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
 
     got = rows.mapInPandas(features, "x array<int>, toxic int, swapped array<array<int>>").collect()  # at most ``sample`` short lists
     got.sort(key=lambda r: (r["x"], r["toxic"]))  # the same sums whatever order the rows come in
-    pairs = [p for r in got for p in zip(r["swapped"][::2], r["swapped"][1::2], strict=True)][:PAIRS]
-    weights, bias = train([(r["x"], int(r["toxic"] != 0)) for r in got], pairs, len(index))
+    swapped = Counter((tuple(a), tuple(b)) for r in got for a, b in zip(r["swapped"][::2], r["swapped"][1::2], strict=True))
+    weights, bias = train([(r["x"], int(r["toxic"] != 0)) for r in got], swapped, len(index))
     return Model(index, weights, bias)
 
 

@@ -480,6 +480,38 @@ def test_html(spark):
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+def template(seed, article, labelled):
+    """A page whose class names tell nothing, with an advert, a long comment section and a short last paragraph behind a list."""
+    body = "".join(f"<p>{html.escape(p)}</p>" for p in article[1:-3]) + f"<ul><li>{article[-3]}</li><li>{article[-2]}</li></ul><p>{article[-1]}</p>"
+    inner = f"<h1>{article[0]}</h1>{body}"
+    held = f"<article>{inner}</article>" if labelled else f'<div class="q{seed}x">{inner}</div>'
+    talk = "".join(f'<div class="k7"><p>{words(9000 + seed * 50 + i, 40)}</p><p>{words(8000 + seed * 50 + i, 15)}</p></div>' for i in range(12))
+    return f'<html><body><div class="z1"><p>{words(7000 + seed, 25)}</p></div>{held}<div class="k6">{talk}</div><div class="z2">{words(6000 + seed, 12)}</div></body></html>'
+
+
+def test_html_by_scores_alone(spark):
+    rows, want = [], {}
+    for i in range(60):
+        article = [words(i, 5), *(words(100 * i + j, 30 + j) for j in range(4)), words(50 + i, 6), words(51 + i, 9), words(52 + i, 2)]
+        rows.append((i, "u", template(i, article, labelled=i < 40)))
+        want[i] = " ".join(article)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(df).collect()}
+    assert got == want
+    assert html_text.extract(rows[50][2]) != want[50]  # without weights the comments are taken for text
+
+
+def test_html_run_is_the_best_of_all():
+    rng = random.Random(9)
+    for _ in range(300):
+        blocks = [html_text.Block(rng.choice([0.1, 1.5, 4.0]), 0) for _ in range(rng.randint(1, 12))]
+        for b in blocks:
+            b.words, b.score = 1, rng.choice([-3.0, 1.0, 2.0, 5.0])
+        total = {(i, j): sum(b.score for b in blocks[i:j]) - sum(b.cost for b in blocks[i + 1 : j]) for i in range(len(blocks)) for j in range(i + 1, len(blocks) + 1)}
+        low, high = html_text.best_run(blocks, {0: (len(blocks), 0)})  # no element to extend in
+        assert (low, high) == (0, 0) if max(total.values()) <= 0 else total[low, high] == pytest.approx(max(total.values()))
+
+
 def test_html_of_the_pages(spark):
     got = QUERIES["op3_html_extraction"](spark, SF).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
@@ -513,6 +545,17 @@ def test_toxicity_is_learnt_and_swaps_matter(spark, docs, empty):
     assert len({r["score"] for r in none}) == 1
 
 
+def test_equal_swaps_count_as_often_as_they_occur(monkeypatch):
+    rows = [([0, 2], 1), ([1], 0), ([1, 2], 0), ([0], 1)] * 5
+    one, other = ((0,), (1,)), ((2,), ())
+    monkeypatch.setattr(toxicity, "SWAP_PENALTY", 1.0)
+    seven, _ = toxicity.train(rows, collections.Counter({one: 7, other: 14}), 3)
+    monkeypatch.setattr(toxicity, "SWAP_PENALTY", 7.0)
+    heavy, _ = toxicity.train(rows, collections.Counter({one: 1, other: 2}), 3)
+    assert np.allclose(seven, heavy)
+    assert not hasattr(toxicity, "PAIRS")  # no swap is left out
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
