@@ -7,9 +7,12 @@ hashes their bytes are compared as well.
 
 Only suffixes that can matter are sorted. Each window of 50 bytes names one of its 16-byte strings, the one of
 least hash; equal windows name equal strings. The consecutive windows of a document that name the same place are a
-run. (1) Runs go to the task of their string: runs that are equal in all bytes need no sorting, the later documents'
-are marked. (2) Where different runs share a string, one of each kind is asked for its bytes, and their windows'
-suffixes are sorted. (3) Marks go back to the documents. Every window is in exactly one run, so none is missed.
+run. (1) Runs go to the task of their string: runs that are equal need no sorting, the later documents' are marked.
+Within a block of texts their bytes are compared; between blocks runs count as equal if their string's hash, 32 bits and
+those that chose its task, and another one of 64 bits of the whole run agree. (2) Where different runs share a string, one of each
+kind is asked for its bytes, and their windows' suffixes are sorted. Windows of a string of very many runs meet by the bytes
+beside it as well, so that no task gets them all. (3) Marks go back to the documents. Every window is in exactly one run,
+so none is missed.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ from .fingerprints import mix64
 LENGTH, NAME = 50, 16
 #: Bytes of text that are worked on at once.
 BLOCK = 4_000_000
+#: Runs of a string from which its windows meet by the bytes beside it as well.
+HOT = 4096
+#: Bytes of input for each task at most, about, where the planner knows the size.
+TASK = 16_000_000
 #: The id that stands for null, the last of all.
 LAST = 2**63 - 1
 
@@ -140,7 +147,7 @@ def equal_windows(data: np.ndarray, segment: np.ndarray, start: np.ndarray, leng
 
 
 # Blocks of columns travel as bytes, each byte place together so that they compress.
-_COLUMNS = (("name", "<u4"), ("run", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("low", "<u4"), ("more", "<u1"))
+_COLUMNS = (("name", "<u4"), ("run", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("low", "<u4"), ("more", "<u1"))
 
 
 def _write(columns: dict[str, np.ndarray], kinds: tuple = _COLUMNS) -> bytes:
@@ -195,11 +202,46 @@ def runs_of(texts: list[bytes], length: int = LENGTH, name: int = NAME) -> dict[
     return {"name": chosen[at] >> np.uint64(6), "run": run, "row": row[at], "low": low - begin[row[at]], "high": high - begin[row[at]]}
 
 
-MARKS = "name long, doc long, tag int, low int, high int"  # name -1: a mark, else a run whose bytes are asked for
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of ``size`` bytes at a and b are equal, byte by byte."""
+    out = np.ones(len(a), bool)
+    for i in range(0, len(a), 100_000):
+        n = size[i : i + 100_000]
+        step = np.arange(int(n.max()))
+        inside = step < n[:, None]
+        x, y = (np.minimum(p[i : i + 100_000, None] + step, len(data) - 1) for p in (a, b))
+        out[i : i + 100_000] = ((data[x] == data[y]) | ~inside).all(axis=1)
+    return out
+
+
+def beside(data: np.ndarray, name: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Parts (run, low, high, name) of runs of ``data``, named by the 16 bytes before their string, or after it, as well.
+
+    A window's string is the leftmost of its least; those with 16 bytes before it go by these, the others have 16 behind.
+    """
+    hashes = PrefixHashes(data)
+    place = mix64(hashes.all_of(NAME)) >> np.uint64(6)
+    count = high - low + 1
+    run = np.repeat(np.arange(len(name)), count)
+    s = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+    at = np.empty(len(s), np.int64)
+    for i in range(0, len(s), 50_000):
+        at[i : i + 50_000] = s[i : i + 50_000] + place[s[i : i + 50_000, None] + np.arange(LENGTH - NAME + 1)].argmin(axis=1)
+    after = s > at - NAME
+    new = np.ones(len(s), bool)
+    new[1:] = (run[1:] != run[:-1]) | (at[1:] != at[:-1]) | (after[1:] != after[:-1])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(s)]])[: len(first)] - 1
+    side = np.where(after[first], at[first] + NAME, at[first] - NAME)
+    key = mix64(name[run[first]].astype(np.uint64) * np.uint64(2) + after[first].astype(np.uint64)) + hashes.of(side, side + NAME)
+    return run[first], s[first], s[last], (mix64(key) >> np.uint64(1)).astype(np.int64)
+
 
+MARKS = "name long, doc long, tag long, low int, high int, hot boolean"  # name -1: a mark, else a run whose bytes are asked for
 
-def _frame(name: np.ndarray, doc: np.ndarray, tag: np.ndarray, low: np.ndarray, high: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"name": name, "doc": doc, "tag": tag.astype(np.int32), "low": low.astype(np.int32), "high": high.astype(np.int32)})
+
+def _frame(name: np.ndarray, doc: np.ndarray, tag: np.ndarray, low: np.ndarray, high: np.ndarray, hot: np.ndarray | bool = False) -> pd.DataFrame:
+    return pd.DataFrame({"name": name, "doc": doc, "tag": tag, "low": low.astype(np.int32), "high": high.astype(np.int32), "hot": hot})
 
 
 def _blocks(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[list[list]]:
@@ -223,15 +265,22 @@ def _first_round(rows: DataFrame, buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for texts, docs, tags in _blocks(batches, "text", "doc", "tag"):
-            r = runs_of([t.encode() for t in texts])
+            raw = [t.encode() for t in texts]
+            r = runs_of(raw)
             doc, tag = np.array(docs, np.int64)[r["row"]], np.array(tags, np.int64)[r["row"]]
             # Of runs that are equal within the block only the first document's travel.
             order = np.lexsort((doc, r["run"]))
             run = r["run"][order]
             new = np.ones(len(run), bool)
             new[1:] = run[1:] != run[:-1]
-            head = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))] if len(run) else doc
-            late = doc[order] > head
+            head = order[np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))]
+            late = doc[order] > doc[head]
+            begin = np.cumsum([0, *map(len, raw)])[r["row"]] + r["low"]
+            size = r["high"] - r["low"] + LENGTH
+            mine, first = order[late], head[late]
+            equal = size[mine] == size[first]
+            equal[equal] = same_bytes(np.frombuffer(b"".join(raw), np.uint8), begin[mine[equal]], begin[first[equal]], size[mine[equal]])
+            late[late] = equal
             bucket = (r["name"] >> np.uint64(32)).astype(np.int64) % buckets if len(run) else np.zeros(0, np.int64)
             out = []
             for chosen, known in ((order[~late], False), (order[late], True)):
@@ -260,34 +309,42 @@ def _first_round(rows: DataFrame, buckets: int) -> DataFrame:
             head = c["doc"][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             late = c["doc"] > head
             group = np.cumsum(new_name) - 1
-            asked = ~late & (np.bincount(group, new)[group] > 1)
+            kinds = np.bincount(group, new)[group]
+            asked = ~late & (kinds > 1)
             frames.append(_frame(np.full(int(late.sum()), -1), c["doc"][late], c["tag"][late], c["low"][late], c["high"][late]))
             name = c["name"][asked].astype(np.int64) * buckets + key[0]
-            frames.append(_frame(name, c["doc"][asked], c["tag"][asked], c["low"][asked], c["high"][asked]))
+            frames.append(_frame(name, c["doc"][asked], c["tag"][asked], c["low"][asked], c["high"][asked], kinds[asked] > HOT))
         return pd.concat(frames, ignore_index=True)
 
     sent = rows.mapInPandas(send, "bucket int, known boolean, blob binary")
     return sent.groupBy("bucket").applyInPandas(meet, MARKS)
 
 
-_ASKED = (("name", "<i8"), ("doc", "<i8"), ("tag", "<u2"), ("low", "<u4"), ("size", "<u4"))
+_ASKED = (("name", "<i8"), ("doc", "<i8"), ("tag", "<i8"), ("low", "<u4"), ("size", "<u4"))
 
 
 def _second_round(rows: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
     """Marks from sorting the windows of different runs with one name."""
-    lists = asked.groupBy("doc", "tag").agg(F.collect_list(F.struct("name", "low", "high")).alias("asked"))
+    lists = asked.groupBy("doc", "tag").agg(F.collect_list(F.struct("name", "low", "high", "hot")).alias("asked"))
     found = rows.join(lists, ["doc", "tag"]).select(
-        "doc", "tag", "text", *(F.col(f"asked.{f}").alias(f) for f in ("name", "low", "high"))
+        "doc", "tag", "text", *(F.col(f"asked.{f}").alias(f) for f in ("name", "low", "high", "hot"))
     )
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for texts, docs, tags, names, lows, highs in _blocks(batches, "text", "doc", "tag", "name", "low", "high"):
+        for texts, docs, tags, names, lows, highs, hots in _blocks(batches, "text", "doc", "tag", "name", "low", "high", "hot"):
             raw = [t.encode() for t in texts]
             data = np.frombuffer(b"".join(raw), np.uint8)
             counts = np.array([len(x) for x in names])
             begin = np.repeat(np.cumsum([0, *map(len, raw)])[:-1], counts)
             name, low, high = np.concatenate(names).astype(np.int64), np.concatenate(lows).astype(np.int64), np.concatenate(highs).astype(np.int64)
             doc, tag = np.repeat(np.array(docs, np.int64), counts), np.repeat(np.array(tags, np.int64), counts)
+            hot = np.flatnonzero(np.concatenate(hots))
+            if len(hot):
+                run, one, two, other = beside(data, name[hot], begin[hot] + low[hot], begin[hot] + high[hot])
+                run, rest = hot[run], np.setdiff1d(np.arange(len(name)), hot)
+                one, two = one - begin[run], two - begin[run]
+                name, low, high = (np.concatenate([x[rest], y]) for x, y in ((name, other), (low, one), (high, two)))
+                doc, tag, begin = (np.concatenate([x[rest], x[run]]) for x in (doc, tag, begin))
             size = high - low + LENGTH
             order = np.argsort(name % buckets, kind="stable")
             cuts = np.flatnonzero(np.diff(name[order] % buckets, prepend=-1))
@@ -333,7 +390,7 @@ def _second_round(rows: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
         np.minimum.at(lowest, label, d)
         hit = chosen[d > lowest[label]]
         low = c["low"][piece[hit]].astype(np.int64) + offset[hit]
-        return _frame(np.full(len(hit), -1), doc[hit], c["tag"][piece[hit]].astype(np.int64), low, low)
+        return _frame(np.full(len(hit), -1), doc[hit], c["tag"][piece[hit]], low, low)
 
     sent = found.mapInPandas(send, "bucket int, blob binary")
     return sent.groupBy("bucket").applyInPandas(meet, MARKS)
@@ -359,13 +416,18 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are their UTF-8 bytes; null and empty texts, and those below 50 bytes, lose nothing. Rows with the same id don't
-    count as earlier than each other; null ids come last. No rows give no rows. Other columns are ignored.
+    count as earlier than each other; null ids are one id, the last. No rows give no rows. Other columns are ignored.
+    Where ids repeat, rows are numbered and written once, so that each row's marks come back to it.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tag = F.pmod(F.xxhash64(text_of("text")), F.lit(65536)).cast("int")  # tells rows of one id apart
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), tag.alias("tag"), text_of("text").alias("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text_of("text").alias("text"))
+    repeated = not rows.groupBy("doc").count().filter("count > 1").isEmpty()
+    tag = F.monotonically_increasing_id() if repeated else F.lit(0).cast("long")
+    rows = materialise(rows.withColumn("tag", tag)) if repeated else rows.withColumn("tag", tag)
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of files, or far too much where it isn't known
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(buckets, min(known // TASK, 2**20) if known < 2**56 else 0)
     long = rows.filter(F.octet_length("text") >= LENGTH).select("text", "doc", "tag")
     first = materialise(_first_round(long, buckets))
     release(spark)

@@ -398,6 +398,48 @@ def test_suffix_dedup(docs, empty, spark):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_repeated_ids(spark):
+    passage = words(7, 25)
+    texts_ = [f"{words(i, 12)} {passage[i % 9 :]} {words(i // 2, 9)}" for i in range(1000)]
+    rows = [(1, passage), *((None, t) for t in texts_), (None, texts_[0]), (2, texts_[3]), (2, passage + "x"), (2, passage + "x")]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rank = lambda i: (i is None, i or 0)
+    seen = {i: {w for j, t in rows if rank(j) < rank(i) for e in [t.encode()] for w in (e[s : s + 50] for s in range(len(e) - 49))} for i in (1, 2, None)}
+    want = []
+    for i, t in rows:
+        raw, gone = t.encode(), np.zeros(len(t.encode()), bool)
+        for s in range(len(raw) - 49):
+            if raw[s : s + 50] in seen[i]:
+                gone[s : s + 50] = True
+        kept = bytes(c for c, g in zip(raw, gone) if not g)
+        want.append((i, len(raw), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), hashlib.sha256(kept).hexdigest()))
+    assert by_id(map(tuple, got)) == by_id(want)
+
+
+def test_suffix_dedup_of_a_string_of_many_runs(spark):
+    rng, hot = random.Random(8), "sixteen bytes of it"
+    rows = [(i, f"{words(i % 150, 8)} {hot} {words(i % 170, 8)}") for i in range(900)] + [(1000 + i, "abab" * rng.randrange(13, 30) + hot) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = by_id(map(tuple, suffix_dedup.suffix_dedup(frame).collect()))
+    assert want == plain_removal(rows)
+    hot, suffix_dedup.HOT = suffix_dedup.HOT, 1  # sent to the workers with the functions that read it
+    try:
+        assert by_id(map(tuple, suffix_dedup.suffix_dedup(frame).collect())) == want
+    finally:
+        suffix_dedup.HOT = hot
+    raw = [t.encode() for _, t in rows]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    r = suffix_dedup.runs_of(raw)
+    begin = np.cumsum([0, *map(len, raw)])[r["row"]]
+    run, low, high, name = suffix_dedup.beside(data, np.zeros(len(begin), np.int64), begin + r["low"], begin + r["high"])
+    assert (high - low + 1).sum() == (r["high"] - r["low"] + 1).sum()
+    names = collections.defaultdict(set)
+    for a, b, n in zip(low, high, name):
+        for s in range(a, b + 1):
+            names[data[s : s + 50].tobytes()].add(n)
+    assert all(len(v) == 1 for v in names.values()) and len(set(name)) > 300  # equal windows meet
+
+
 def test_suffix_sort_and_collisions(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 900).astype(np.uint8)
