@@ -25,23 +25,39 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))
 
 
+_folders: dict[str, SparkSession] = {}  # written and not removed yet, in order
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the one that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests, the
-    session's own checkpoint folder or a new temporary one takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, the session's own checkpoint folder takes its
+    place, and in a local session, which is one machine, a new temporary one. Other sessions must have it set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="emberrule-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/emberrule-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not _folders:
+        atexit.register(release)
+    _folders[path] = spark
     return path
 
 
+def written() -> int:
+    """How many folders of intermediate results there are."""
+    return len(_folders)
+
+
+def release(since: int = 0, but_last: int = 0) -> None:
+    """Remove the folders of intermediate results from the ``since``th on, but the last few. Nothing may read them any more."""
+    for path in list(_folders)[since : len(_folders) - but_last]:
+        _remove(_folders.pop(path), path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -85,6 +101,16 @@ def attach_small(rows: DataFrame, summary: DataFrame, key: str, seed: str, n_sum
     return left.join(right, on, "left").drop("__key", "__salt", "__s")
 
 
+def attach_keyed(rows: DataFrame, summary: DataFrame, key: str, seed: str) -> DataFrame:
+    """Join a one-row-a-key ``summary`` of any size to ``rows`` on ``key``, which isn't null, dealing the rows of a key over salts.
+
+    The summary's rows are repeated only for the salts that a key has.
+    """
+    salted = rows.withColumn("__salt", salt(seed))
+    wide = salted.select(key, "__salt").distinct().join(summary, key)
+    return salted.join(wide, [key, "__salt"], "left").drop("__salt")
+
+
 def attach_group(rows: DataFrame, keys: list[str], seed: str, partial: list[Column], final: list[Column]) -> DataFrame:
     """Give each row aggregates of its group, though one group may hold a third of all rows.
 
@@ -127,9 +153,9 @@ def text_hash(kind: str = "sha2") -> Column:
 
 
 def give_back(docs: DataFrame, verdicts: DataFrame, value: str, hash_col: str, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``docs`` with the number ``value`` of ``verdicts`` (a row for each row of docs; ``by`` and ``hash_col``) as ``__value``.
+    """``__row``, a row of ``docs`` whole, and as ``__value`` its number ``value`` of ``verdicts`` (a row for each row of docs; ``by`` and ``hash_col``).
 
-    Rows that agree in ``by`` and their text get the numbers of that key in turn, whichever row gets which. Rows whose
+    Columns of docs may have any names, since they travel as one. Rows that agree in ``by`` and their text get the numbers of that key in turn, whichever row gets which. Rows whose
     numbers are all 0 are left out, so that their texts need not be kept.
     """
     kind = "sha2" if dict(verdicts.dtypes)[hash_col] == "string" else "xxhash64"
@@ -138,10 +164,10 @@ def give_back(docs: DataFrame, verdicts: DataFrame, value: str, hash_col: str, b
     numbers = verdicts.select(*keys).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"), F.sum("__v").alias("__sum"), F.max("__v").alias("__value"))
     mixed = not numbers.filter("__sum <> __n * __value").isEmpty()
     wanted = numbers.filter("__sum > 0").drop("__n", "__sum")
-    rows = docs.withColumn("__h", text_hash(kind))
-    on = rows["__h"] == F.col("__kh")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), text_hash(kind).alias("__h"))
+    on = F.col("__h") == F.col("__kh")
     for i, k in enumerate(by):
-        on = on & rows[k].eqNullSafe(F.col(f"__k{i}"))
+        on = on & F.col(f"__row.{k}").eqNullSafe(F.col(f"__k{i}"))
     out = rows.join(wanted, on)
     if mixed:  # rows of one key with different numbers: repeated rows
         lists = verdicts.select(*keys).groupBy(*names).agg(F.sort_array(F.collect_list("__v"), False).alias("__list"))
@@ -151,4 +177,4 @@ def give_back(docs: DataFrame, verdicts: DataFrame, value: str, hash_col: str, b
         for i in range(len(by)):
             on = on & F.col(f"__k{i}").eqNullSafe(F.col(f"__k{i}l"))
         out = out.withColumn("__nth", nth).join(lists, on).withColumn("__value", F.get("__list", F.col("__nth") - 1)).filter("__value > 0")
-    return out.select(*docs.columns, "__value")
+    return out.select("__row", "__value")

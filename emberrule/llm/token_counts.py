@@ -18,7 +18,7 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of
+from .common import attach_keyed, materialise, shared_dir, text_of
 
 #: Raise it when the normalisation below changes: stored counts of other versions are then not used.
 NORMALISATION = 1
@@ -121,9 +121,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     drops_white = '"pattern": {"Regex": "\\\\s+"}' in json.dumps(json.loads(content).get("normalizer"))
     text = text_of("text")
     norm = F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " ")) if drops_white else text
-    keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), norm.alias("content"))
-    keyed = keyed.withColumn("digest", F.sha2("content", 256))
-    missing = keyed.select("digest", "content").distinct()
+    missing = docs.select(norm.alias("content")).select(F.sha2("content", 256).alias("digest"), "content").distinct()
+    bytes_of = F.octet_length(text).cast("long").alias("n_bytes")
+    keyed = materialise(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", bytes_of, F.unhex(F.sha2(norm, 256)).alias("digest")))
     path = cache_path or shared_dir(spark)
     if _exists(spark, path):
         stored = spark.read.schema(CACHE_SCHEMA).parquet(path).filter(F.col("tokenizer_version") == version)
@@ -141,5 +141,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     stored = spark.read.schema(CACHE_SCHEMA).parquet(path).filter(F.col("tokenizer_version") == version)
     if cache_path:
         stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    found = keyed.select("doc_id", "n_bytes", "digest").join(stored.select("digest", "n_tokens"), "digest", "left")
+    stored = stored.select(F.unhex("digest").alias("digest"), "n_tokens")
+    found = attach_keyed(keyed, stored, "digest", "rid")  # a third of all rows may have one text
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -611,7 +611,7 @@ def test_numbers_go_back_to_repeated_rows(spark):
     verdicts = docs.withColumn("source_sha256", common.text_hash()).withColumn("n", F.when(F.col("doc_id") == 2, 0).otherwise(1))
     assert common.give_back(docs, verdicts, "n", "source_sha256").count() == 3
     one = verdicts.filter("doc_id = 1").limit(1).withColumn("n", F.lit(0)).unionByName(verdicts.filter("doc_id = 1").limit(1)).unionByName(verdicts.filter("doc_id is null"))
-    got = common.give_back(docs, one, "n", "source_sha256").collect()
+    got = common.give_back(docs, one, "n", "source_sha256").select("__row.*").collect()
     assert by_id((r["doc_id"], r["kept"]) for r in got) == by_id([(1, "x"), (None, None)])
 
 

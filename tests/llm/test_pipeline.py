@@ -58,3 +58,24 @@ def test_run_and_empty(spark, tmp_path):
     for t in ("documents", "labels"):
         table(spark, SF, t).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, and columns with names that operators use."""
+    long = " ".join(f"word{i}" for i in range(30_000))
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, base), (1, base), (1, base + " "), (2, base + " thirteen"), (None, base), (None, None), (None, None), (3, None), (4, ""), (5, " \t"), (6, long), (7, long + " end"), (8, "x y z"), (8, "other words")]
+    rows = [(i, t, None, None if n % 3 else "s", None, n % 2 == 0, 0.5, "k", 7, 1, "h", None) for n, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, bucket string, rid long, size long, __value string, rep long")
+    seen = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        seen.append(materialise(stage(spark, seen[-1], SF)))
+        assert name == NAMES[-1] or seen[-1].columns == docs.columns
+    clean, distinct, unlike, mixed = (sorted(map(repr, df.collect())) for df in seen[1:-1])
+    assert len(clean) == len(rows)
+    # of the texts: base (the one with a space stays), base with one more, none, long, long with one more, and two short ones
+    assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in seen[2].collect() if (r["text"] or "").strip()) == sorted([(1, len(base) + 1), (2, len(base) + 9), (6, len(long)), (7, len(long) + 4), (8, 5), (8, 11)])
+    assert sum(not (r["text"] or "").strip() for r in seen[2].collect()) == 1
+    assert sorted(r["doc_id"] or 0 for r in seen[3].collect() if (r["text"] or "").strip()) == [1, 6, 8, 8]
+    assert set(mixed) <= set(unlike) <= set(distinct) <= set(clean)
+    assert sum(r["piece"] == 0 for r in seen[-1].collect()) == len(mixed)
