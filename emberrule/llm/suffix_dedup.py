@@ -19,21 +19,25 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, small_batches, text_of
 from .fingerprints import mix64
 
 #: Bytes in a repeated string, and in the strings by which windows meet.
 LENGTH, NAME = 50, 16
 #: Bytes of text that are worked on at once.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Runs of a string from which its windows meet by the bytes beside it as well.
 HOT = 4096
 #: Bytes of input for each task at most, about, where the planner knows the size.
@@ -146,7 +150,7 @@ def equal_windows(data: np.ndarray, segment: np.ndarray, start: np.ndarray, leng
     return order, np.cumsum(~same) - 1
 
 
-# Blocks of columns travel as bytes, each byte place together so that they compress.
+# Blocks of columns travel as compressed bytes, each byte place together.
 _COLUMNS = (("name", "<u4"), ("run", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("low", "<u4"), ("more", "<u1"))
 
 
@@ -170,7 +174,7 @@ def _read(blob: bytes, kinds: tuple = _COLUMNS) -> tuple[dict[str, np.ndarray],
 
 
 def _read_all(blobs: Iterator[bytes], kinds: tuple = _COLUMNS) -> dict[str, np.ndarray]:
-    read = [_read(b, kinds)[0] for b in blobs]
+    read = [_read(zstandard.decompress(b), kinds)[0] for b in blobs]
     return {name: np.concatenate([r[name] for r in read]) for name, _ in kinds}
 
 
@@ -205,12 +209,12 @@ def runs_of(texts: list[bytes], length: int = LENGTH, name: int = NAME) -> dict[
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the strings of ``size`` bytes at a and b are equal, byte by byte."""
     out = np.ones(len(a), bool)
-    for i in range(0, len(a), 100_000):
-        n = size[i : i + 100_000]
+    for i in range(0, len(a), 10_000):
+        n = size[i : i + 10_000]
         step = np.arange(int(n.max()))
         inside = step < n[:, None]
-        x, y = (np.minimum(p[i : i + 100_000, None] + step, len(data) - 1) for p in (a, b))
-        out[i : i + 100_000] = ((data[x] == data[y]) | ~inside).all(axis=1)
+        x, y = (np.minimum(p[i : i + 10_000, None] + step, len(data) - 1) for p in (a, b))
+        out[i : i + 10_000] = ((data[x] == data[y]) | ~inside).all(axis=1)
     return out
 
 
@@ -237,11 +241,11 @@ def beside(data: np.ndarray, name: np.ndarray, low: np.ndarray, high: np.ndarray
     return run[first], s[first], s[last], (mix64(key) >> np.uint64(1)).astype(np.int64)
 
 
-MARKS = "name long, doc long, tag long, low int, high int, hot boolean"  # name -1: a mark, else a run whose bytes are asked for
+MARKS = "name long, doc long, tag long, low int, high int"  # name -1: a mark, else a run whose bytes are asked for; odd: of a hot string
 
 
-def _frame(name: np.ndarray, doc: np.ndarray, tag: np.ndarray, low: np.ndarray, high: np.ndarray, hot: np.ndarray | bool = False) -> pd.DataFrame:
-    return pd.DataFrame({"name": name, "doc": doc, "tag": tag, "low": low.astype(np.int32), "high": high.astype(np.int32), "hot": hot})
+def _frame(name: np.ndarray, doc: np.ndarray, tag: np.ndarray, low: np.ndarray, high: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"name": name, "doc": doc, "tag": tag, "low": low.astype(np.int32), "high": high.astype(np.int32)})
 
 
 def _blocks(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[list[list]]:
@@ -288,7 +292,7 @@ def _first_round(rows: DataFrame, buckets: int) -> DataFrame:
                 cuts = np.flatnonzero(np.diff(bucket[chosen], prepend=-1))
                 for part in np.split(chosen, cuts[1:]) if len(chosen) else []:
                     c = {"name": r["name"][part] & np.uint64(0xFFFFFFFF), "run": r["run"][part], "doc": doc[part], "tag": tag[part], "low": r["low"][part], "more": (r["high"] - r["low"])[part]}
-                    out.append((int(bucket[part[0]]), known, _write(c)))
+                    out.append((int(bucket[part[0]]), known, zstandard.compress(_write(c), 1)))
             yield pd.DataFrame(out, columns=["bucket", "known", "blob"])
 
     def meet(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
@@ -312,8 +316,8 @@ def _first_round(rows: DataFrame, buckets: int) -> DataFrame:
             kinds = np.bincount(group, new)[group]
             asked = ~late & (kinds > 1)
             frames.append(_frame(np.full(int(late.sum()), -1), c["doc"][late], c["tag"][late], c["low"][late], c["high"][late]))
-            name = c["name"][asked].astype(np.int64) * buckets + key[0]
-            frames.append(_frame(name, c["doc"][asked], c["tag"][asked], c["low"][asked], c["high"][asked], kinds[asked] > HOT))
+            name = (c["name"][asked].astype(np.int64) * buckets + key[0]) * 2 + (kinds[asked] > HOT)
+            frames.append(_frame(name, c["doc"][asked], c["tag"][asked], c["low"][asked], c["high"][asked]))
         return pd.concat(frames, ignore_index=True)
 
     sent = rows.mapInPandas(send, "bucket int, known boolean, blob binary")
@@ -325,20 +329,20 @@ _ASKED = (("name", "<i8"), ("doc", "<i8"), ("tag", "<i8"), ("low", "<u4"), ("siz
 
 def _second_round(rows: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
     """Marks from sorting the windows of different runs with one name."""
-    lists = asked.groupBy("doc", "tag").agg(F.collect_list(F.struct("name", "low", "high", "hot")).alias("asked"))
-    found = rows.join(lists, ["doc", "tag"]).select(
-        "doc", "tag", "text", *(F.col(f"asked.{f}").alias(f) for f in ("name", "low", "high", "hot"))
-    )
+    span = F.col("low").cast("long") + F.shiftleft((F.col("high") - F.col("low")).cast("long"), 32)
+    lists = asked.groupBy("doc", "tag").agg(F.collect_list(F.struct("name", span.alias("span"))).alias("asked"))
+    found = rows.join(lists, ["doc", "tag"]).select("doc", "tag", "text", *(F.col(f"asked.{f}").alias(f) for f in ("name", "span")))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for texts, docs, tags, names, lows, highs, hots in _blocks(batches, "text", "doc", "tag", "name", "low", "high", "hot"):
+        for texts, docs, tags, names, spans in _blocks(batches, "text", "doc", "tag", "name", "span"):
             raw = [t.encode() for t in texts]
             data = np.frombuffer(b"".join(raw), np.uint8)
             counts = np.array([len(x) for x in names])
             begin = np.repeat(np.cumsum([0, *map(len, raw)])[:-1], counts)
-            name, low, high = np.concatenate(names).astype(np.int64), np.concatenate(lows).astype(np.int64), np.concatenate(highs).astype(np.int64)
+            name, span = np.concatenate(names).astype(np.int64), np.concatenate(spans).astype(np.int64)
+            low, high = span & 0xFFFFFFFF, (span & 0xFFFFFFFF) + (span >> 32)
             doc, tag = np.repeat(np.array(docs, np.int64), counts), np.repeat(np.array(tags, np.int64), counts)
-            hot = np.flatnonzero(np.concatenate(hots))
+            hot = np.flatnonzero(name & 1)
             if len(hot):
                 run, one, two, other = beside(data, name[hot], begin[hot] + low[hot], begin[hot] + high[hot])
                 run, rest = hot[run], np.setdiff1d(np.arange(len(name)), hot)
@@ -346,18 +350,19 @@ def _second_round(rows: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
                 name, low, high = (np.concatenate([x[rest], y]) for x, y in ((name, other), (low, one), (high, two)))
                 doc, tag, begin = (np.concatenate([x[rest], x[run]]) for x in (doc, tag, begin))
             size = high - low + LENGTH
-            order = np.argsort(name % buckets, kind="stable")
-            cuts = np.flatnonzero(np.diff(name[order] % buckets, prepend=-1))
+            bucket = (mix64(name.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             out = []
             for part in np.split(order, cuts[1:]):
                 n = size[part]
                 where = np.repeat(begin[part] + low[part] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 c = {"name": name[part], "doc": doc[part], "tag": tag[part], "low": low[part], "size": n}
-                out.append((int(name[part[0]] % buckets), _write(c, _ASKED) + data[where].tobytes()))
+                out.append((int(bucket[part[0]]), zstandard.compress(_write(c, _ASKED) + data[where].tobytes(), 3)))
             yield pd.DataFrame(out, columns=["bucket", "blob"])
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
-        read = [(*_read(x, _ASKED), x) for x in b["blob"]]
+        read = [(*_read(x, _ASKED), x) for x in map(zstandard.decompress, b["blob"])]
         c = {k: np.concatenate([r[0][k] for r in read]) for k, _ in _ASKED}
         data = np.concatenate([np.frombuffer(x, np.uint8, offset=at) for _, at, x in read])
         size = c["size"].astype(np.int64)
@@ -399,6 +404,9 @@ def _second_round(rows: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer held."""
     gc.collect()
+    time.sleep(1.5)  # the gateway tells the JVM once a second what Python has let go
+    with suppress(Py4JJavaError):  # listeners that are behind still hold plans: after a while they may keep them
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -429,10 +437,11 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(buckets, min(known // TASK, 2**20) if known < 2**56 else 0)
     long = rows.filter(F.octet_length("text") >= LENGTH).select("text", "doc", "tag")
-    first = materialise(_first_round(long, buckets))
-    release(spark)
-    second = materialise(_second_round(long, first.filter("name >= 0"), buckets))
-    release(spark)
+    with small_batches(spark):
+        first = materialise(_first_round(long, buckets))
+        release(spark)
+        second = materialise(_second_round(long, first.filter("name >= 0"), 4 * buckets))
+        release(spark)
     marks = first.filter("name = -1").unionByName(second).groupBy("doc", "tag").agg(
         F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")
     )
@@ -449,4 +458,5 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             yield frame
 
     joined = rows.join(marks, ["doc", "tag"], "left").select("doc_id", "text", "lows", "highs")
-    return joined.mapInPandas(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    with small_batches(spark):
+        return materialise(joined.mapInPandas(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
