@@ -45,7 +45,7 @@ def stream_sessions(commands: DataFrame, rules: RuleSet, options: Options | None
         if status == "FAILED":
             state.remove()
         else:
-            session.options, session._cache, session._parsed = Options(), {}, {}
+            session.options = Options()
             state.update((pickle.dumps(session),))
             if idle:
                 state.setTimeoutDuration(idle)
