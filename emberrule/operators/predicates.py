@@ -22,6 +22,7 @@ class Cell:
     kind: str = ""
     present: Column | None = None
     variant: Column | None = None
+    dtype: T.DataType | None = None
 
 
 def kind_of(t: T.DataType) -> str:
@@ -39,7 +40,7 @@ def kind_of(t: T.DataType) -> str:
 def cell(df: DataFrame, path: str, finite: bool = False) -> Cell:
     """A column is explicit null where it is null and absent where the schema lacks it; VARIANT columns tell the two apart.
 
-    NaN compares as null does, unless the table is declared ``finite``, which keeps its filters pushable.
+    NaN and infinities compare as null does, unless the table is declared ``finite``, which keeps its filters pushable.
     """
     first, *rest = path.split(".")
     names = {f.name: f.dataType for f in df.schema.fields}
@@ -50,7 +51,7 @@ def cell(df: DataFrame, path: str, finite: bool = False) -> Cell:
         if isinstance(dtype, T.VariantType):
             steps = "".join(f"[{x}]" if x.isdigit() else f"['{x}']" for x in rest[i:])
             v = F.try_variant_get(column, f"${steps}", "variant")
-            return Cell(v, "variant", v.isNotNull(), v)
+            return Cell(v, "variant", v.isNotNull(), v, dtype)
         if isinstance(dtype, T.StructType) and s in dtype.names:
             column, dtype = column.getField(s), dtype[s].dataType
         elif isinstance(dtype, T.ArrayType) and s.isdigit():
@@ -58,13 +59,13 @@ def cell(df: DataFrame, path: str, finite: bool = False) -> Cell:
         else:
             return Cell(None)
     if isinstance(dtype, T.VariantType):
-        return Cell(column, "variant", column.isNotNull(), column)
+        return Cell(column, "variant", column.isNotNull(), column, dtype)
     if isinstance(dtype, (T.DoubleType, T.FloatType)) and not finite:
-        column = F.when(~F.isnan(column), column)
-    return Cell(column, kind_of(dtype))
+        column = F.when(F.abs(column) < float("inf"), column)  # false of NaN too
+    return Cell(column, kind_of(dtype), dtype=dtype)
 
 
-def _as(c: Cell, want: str) -> Column | None:
+def part(c: Cell, want: str) -> Column | None:
     """The cell's value if it is of a class, null otherwise; None if it can't be."""
     if c.value is None:
         return None
@@ -90,7 +91,7 @@ def _no(x: Column) -> Column:
 def _equal(c: Cell, v: Any) -> Column:
     if v is None:
         return _is_null(c)
-    x = _as(c, kind(v))
+    x = part(c, kind(v))
     return F.lit(False) if x is None else x == F.lit(v)
 
 
@@ -100,7 +101,7 @@ def test_column(c: Cell, t: Test | Range) -> Column:
         parts = []
         for bound, inclusive, low in ((t.low, t.low_inclusive, True), (t.high, t.high_inclusive, False)):
             if bound is not None:
-                x = _as(c, kind(bound))
+                x = part(c, kind(bound))
                 b = F.lit(bound)
                 parts.append(F.lit(False) if x is None else (x >= b if inclusive else x > b) if low else (x <= b if inclusive else x < b))
         return reduce(lambda a, b: a & b, parts)
@@ -114,13 +115,13 @@ def test_column(c: Cell, t: Test | Range) -> Column:
             by_kind.setdefault(kind(v), []).append(v)
         parts = [_is_null(c)] if by_kind.pop("null", None) else []
         for k, values in by_kind.items():
-            x = _as(c, k)
+            x = part(c, k)
             if x is not None:
                 parts.append(x.isin(*values))
         found = reduce(lambda a, b: a | b, [F.coalesce(p, F.lit(False)) for p in parts], F.lit(False)) if len(parts) != 1 else parts[0]
         return found if t.op == "in" else _no(found)
     if t.op == "matches":
-        x = _as(c, "string")
+        x = part(c, "string")
         return F.lit(False) if x is None or c.kind == "time" else x.rlike(t.value)
     if t.op == "hasField":
         here = F.lit(c.value is not None) if c.present is None else c.present
@@ -140,7 +141,7 @@ def join_column(mine: Cell, other: Cell, j: Join) -> Column:
     a = {"float": "number"}.get(mine.kind, mine.kind)
     b = {"float": "number"}.get(other.kind, other.kind)
     if a != b or mine.variant is not None:
-        both = [(_as(mine, k), _as(other, k)) for k in ("number", "string", "boolean")]
+        both = [(part(mine, k), part(other, k)) for k in ("number", "string", "boolean")]
         both = [(x, y) for x, y in both if x is not None and y is not None]
     else:
         both = [(mine.value, other.value)]

@@ -13,12 +13,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.expressions import column, parse, paths
+from ..functions.columns import Val, condition, emit, result, typed
+from ..functions.expressions import parse, paths
 from ..functions.values import dumps
-from ..model import Expr, Fold, Literal, Pattern, Ref, Rule, Value
-from ..operators.predicates import Cell, cell, join_column, negated, test_column
+from ..model import Expr, Fold, Literal, Pattern, Range, Ref, Rule, Value
+from ..model import Test as FieldTest
+from ..operators.predicates import Cell, cell, join_column, kind_of, negated, part, test_column
 
 
 @dataclass(frozen=True)
@@ -94,7 +97,7 @@ class Matches:
                 columns.append(c.value.alias(_name(p.alias, path)))
             name = _name(p.alias, path)
             shown = F.col(f"`{name}`") if c.value is not None else None
-            self.kinds[name] = Cell(shown, c.kind, shown.isNotNull() if c.variant is not None else None, shown if c.variant is not None else None)
+            self.kinds[name] = Cell(shown, c.kind, shown.isNotNull() if c.variant is not None else None, shown if c.variant is not None else None, c.dtype)
         return df.select(*columns)
 
     def on(self, p: Pattern, earlier: list[Pattern]) -> Column | None:
@@ -139,17 +142,20 @@ class Matches:
                 out = self.fold(out, p, list(positives))
         for p in self.rule.when:  # last, for their errors are seen
             if p.condition:
-                ok = column(parse(p.condition), self.resolve)
-                out = out.filter(F.coalesce(ok, F.raise_error(F.lit(f"rule '{self.rule.id}', '{p.alias}': no overload or no such key in: {p.condition}")).cast("boolean")))
+                said = f"rule '{self.rule.id}', '{p.alias}': no overload or no such key in: {p.condition}"
+                out = out.filter(condition(parse(p.condition), self, said))
         return out
 
-    def resolve(self, alias: str, path: str) -> Column:
-        if path == "":
-            return F.col(f"`{_name(alias, '=')}`")
+    def value(self, alias: str, path: str) -> Val:
+        """A field, or for path '' the answer of an accumulate, as expressions see it."""
+        c = self.kinds.get(_name(alias, path or "="))
+        if c is None or c.value is None or c.dtype is None:
+            return Val()
+        return typed(c.value, c.dtype, nullable=path != "")
+
+    def present(self, alias: str, path: str) -> Column:
         c = self.kinds.get(_name(alias, path))
-        if c is None or c.value is None:
-            return F.raise_error(F.lit(f"no such key: {alias}.{path}"))
-        return c.value
+        return F.lit(c is not None and c.value is not None) if c is None or c.present is None else c.present
 
     def fold(self, out: DataFrame, p: Pattern, earlier: list[Pattern]) -> DataFrame:
         fold = p.fold
@@ -157,7 +163,7 @@ class Matches:
         right = self.side(p)
         answer = _name(p.alias, "=")
         source = self.kinds.get(_name(p.alias, fold.path or ""))
-        aggregate = _aggregate(fold, source.value if source else None, F.col(f"`{_name(p.alias, '#')}`"))
+        aggregate, dtype = _aggregate(fold, source, F.col(f"`{_name(p.alias, '#')}`"))
         alone = all(j.op == "eq" for j in p.joins) and not any(e.fact == p.fact for e in earlier)
         on = self.on(p, earlier)
         if alone and on is not None:  # equal keys only: sum by key once, however many matches ask
@@ -176,23 +182,48 @@ class Matches:
             out = out.join(summed, same, "left").drop(*(f"r_{h[1:-1]}" for h in handles))
         shown = F.col(f"`{answer}`")
         if fold.function in ("count", "sum"):
-            out = out.withColumn(answer, F.coalesce(shown, F.lit(0)))
+            out = out.withColumn(answer, F.coalesce(shown, F.lit(0).cast(dtype)))
+        is_variant = isinstance(dtype, T.VariantType)
+        held = self.kinds[answer] = Cell(shown, kind_of(dtype), shown.isNotNull() if is_variant else None, shown if is_variant else None, dtype)
         if fold.having:
-            op, bound = fold.having
-            c = {"eq": shown == bound, "ne": shown != bound, "gt": shown > bound, "gte": shown >= bound, "lt": shown < bound, "lte": shown <= bound}[op]
-            out = out.filter(F.coalesce(c, F.lit(op == "ne")))
-        self.kinds[answer] = Cell(shown, "number")
+            out = out.filter(F.coalesce(test_column(held, _having(*fold.having)), F.lit(False)))
         return out
 
 
-def _aggregate(fold: Fold, value: Column | None, handle: Column) -> Column:
+def _having(op: str, bound) -> Range | FieldTest:
+    if op in ("gt", "gte"):
+        return Range("", low=bound, low_inclusive=op == "gte")
+    if op in ("lt", "lte"):
+        return Range("", high=bound, high_inclusive=op == "lte")
+    return FieldTest("", op, bound)
+
+
+def _aggregate(fold: Fold, c: Cell | None, handle: Column) -> tuple[Column, T.DataType]:
+    """The fold as an aggregate, and its type: sums and averages of what is a number, extremes by the class of the first value."""
     if fold.function == "count":
-        return F.count(handle)
-    if value is None:
-        return F.lit(0) if fold.function == "sum" else F.max(F.lit(None).cast("double"))
-    if fold.function == "average":
-        return F.sum(value) / F.count(value)
-    return {"sum": F.sum, "min": F.min, "max": F.max}[fold.function](value)
+        return F.count(handle), T.LongType()
+    numbers = part(c, "number") if c is not None else None
+    if fold.function in ("sum", "average"):
+        if numbers is None:
+            return (F.lit(0).cast("long"), T.LongType()) if fold.function == "sum" else (F.max(F.lit(None).cast("double")), T.DoubleType())
+        if fold.function == "sum" and isinstance(c.dtype, T.IntegralType):
+            return F.sum(numbers), T.LongType()
+        total = F.sum(numbers) if fold.function == "sum" else F.sum(numbers) / F.count(numbers)
+        return total.cast("double"), T.DoubleType()
+    best = {"min": F.min, "max": F.max}[fold.function]
+    if c is None or c.value is None:
+        return F.max(F.lit(None).cast("double")), T.DoubleType()
+    if c.variant is None:
+        if c.kind in ("number", "float", "string", "time"):
+            return best(c.value), c.dtype
+        return F.min_by(c.value, F.when(c.value.isNotNull(), handle)), c.dtype  # no order: the first value
+    texts = part(c, "string")
+    kind = F.when(numbers.isNotNull(), 1).when(texts.isNotNull(), 2).when(c.variant.isNotNull() & ~F.is_variant_null(c.variant), 3)
+    first = F.min(F.when(kind.isNotNull(), F.struct(handle.alias("handle"), kind.alias("kind"))))["kind"]
+    most = best(numbers)
+    number = F.when((most == F.floor(most)) & (F.abs(most) < 2**62), most.cast("long").cast("variant")).otherwise(most.cast("double").cast("variant"))
+    other = F.min_by(c.variant, F.when(kind == 3, handle))
+    return F.when(first == 1, number).when(first == 2, best(texts).cast("variant")).when(first == 3, other), T.VariantType()
 
 
 def value_column(v: Value, m: Matches) -> Column:
@@ -204,7 +235,7 @@ def value_column(v: Value, m: Matches) -> Column:
             return F.col(f"`{_name(v.alias, '=')}`")
         c = m.kinds[_name(v.alias, v.path)]
         return F.lit(None) if c.value is None else c.value
-    return column(parse(v.text), m.resolve)
+    return result(emit(parse(v.text), m), f"rule '{m.rule.id}': no overload or no such key in: {v.text}")
 
 
 def matches(rule: Rule, sources: SourceMap) -> DataFrame:
