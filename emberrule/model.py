@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 # The operator names of rule files.
@@ -83,11 +84,11 @@ class Pattern:
     def positive(self) -> bool:
         return self.quantifier == "exists"
 
-    @property
+    @cached_property
     def alphas(self) -> tuple[Test | Range, ...]:
         return tuple(c for c in self.constraints if not isinstance(c, Join))
 
-    @property
+    @cached_property
     def joins(self) -> tuple[Join, ...]:
         return tuple(c for c in self.constraints if isinstance(c, Join))
 
@@ -137,7 +138,7 @@ class Rule:
     tags: tuple[str, ...] = ()
     agenda_group: str | None = None  # kept and part of the version, otherwise without effect
 
-    @property
+    @cached_property
     def positives(self) -> tuple[Pattern, ...]:
         return tuple(p for p in self.when if p.positive)
 

@@ -16,16 +16,16 @@ def keep_newest(facts: DataFrame, most: int, session: list[str], recency: list[C
 
 
 def keep_per_type(facts: DataFrame, most: dict[str, int], session: list[str], type_col: str, recency: list[Column]) -> DataFrame:
-    """Each session's newest facts of each capped type; other types are kept whole."""
-    cap = F.coalesce(*[F.when(F.col(type_col) == t, n) for t, n in most.items()])
+    """Each session's newest facts of each capped type; other types are kept whole. Caps apply before rows move."""
     order = Window.partitionBy(*session, type_col).orderBy(*(c.desc() for c in recency))
-    return facts.withColumn("__n", F.row_number().over(order)).filter(cap.isNull() | (F.col("__n") <= cap)).drop("__n")
+    ranked = [facts.filter(F.col(type_col) == t).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= n).drop("__n") for t, n in most.items()]
+    return reduce(DataFrame.unionByName, ranked, facts.filter(~F.coalesce(F.col(type_col).isin(*most), F.lit(False))))
 
 
 def keep_window(facts: DataFrame, time: Column, span: Column, session: list[str]) -> DataFrame:
     """Facts no older than their session's newest by more than ``span``; those without a time stay.
 
-    The newest time is an aggregate joined back, so that a session's rows need not meet in one task.
+    The newest time is an aggregate joined back: a session's rows aren't sorted, and meet only where the times are too many to broadcast.
     """
     newest = facts.groupBy(*session).agg(F.max(time).alias("__newest"))
     joined = facts.join(newest, reduce(lambda a, b: a & b, [facts[s].eqNullSafe(newest[s]) for s in session])).drop(*(newest[s] for s in session))

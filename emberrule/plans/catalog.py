@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..dsl.builder import RuleBuilder, Where, ref
+from ..dsl.compiler import compile_rules
 from ..dsl.reader import load_rules
 from ..sources.tables import TableSources
 from .lhs import emitted
@@ -93,6 +95,27 @@ _rule("value_expr", "[{fact: Order, as: o, where: {o_orderstatus: {eq: P}}}]", "
       "select o_orderkey as id, case when o_totalprice > 400000 then 'HIGH' when o_totalprice > 200000 then 'MID' else 'LOW' end as band from orders where o_orderstatus = 'P'")
 
 
+for _f in ("sum", "average"):
+    _rule(f"acc_variant_{_f}", f"[{{fact: Customer, as: c}}, {{fact: Event, as: x, quantifier: accumulate, accumulate: {{{_f}: props.k}}, where: {{user_id: {{eq: {{$ref: c.c_custkey}}}}}}}}]",
+          "{id: {$ref: c.c_custkey}, x: {$ref: x}}", f"select c_custkey as id, {'coalesce(sum((props->>\'$.k\')::double), 0)' if _f == 'sum' else 'avg((props->>\'$.k\')::double)'} as x from customer left join events on user_id = c_custkey group by c_custkey")
+for _f in ("min", "max"):
+    _rule(f"acc_variant_{_f}", f"[{{fact: Customer, as: c}}, {{fact: Event, as: x, quantifier: accumulate, accumulate: {{{_f}: props.k, having: {{gte: 5}}}}, where: {{user_id: {{eq: {{$ref: c.c_custkey}}}}}}}}]",
+          "{id: {$ref: c.c_custkey}, x: {$expr: 'double(x)'}}", f"select c_custkey as id, {_f}((props->>'$.k')::double) as x from customer join events on user_id = c_custkey group by c_custkey having {_f}((props->>'$.k')::double) >= 5")
+_EV = "{id: {$ref: e.event_id}}"
+_rule("cond_variant", "[{fact: Event, as: e, condition: 'e.props.k % 2 == 1 && e.props.k + 1 > 50'}]", _EV, "select event_id as id from events where (props->>'$.k')::bigint % 2 = 1 and (props->>'$.k')::bigint + 1 > 50")
+_rule("cond_has", "[{fact: Event, as: e, condition: '(has(e.props.zz) && e.props.zz > 1) || (has(e.props.k) && e.props.k > 90)'}]", _EV,
+      "select event_id as id from events where (json_exists(props, '$.zz') and (props->>'$.zz')::double > 1) or (json_exists(props, '$.k') and (props->>'$.k')::double > 90)")
+_rule("cond_absorbs", "[{fact: Event, as: e, condition: 'e.event_type == \"click\" ? true : e.props.zz > 1 || e.user_id >= 0'}]", _EV, "select event_id as id from events")
+_rule("expr_division", "[{fact: LineItem, as: l, condition: 'l.l_orderkey / l.l_linenumber % 2 == 1'}]", "{id: {$ref: l.l_orderkey}, line: {$ref: l.l_linenumber}, q: {$expr: '-l.l_orderkey / l.l_linenumber'}}",
+      "select l_orderkey as id, l_linenumber as line, -(l_orderkey // l_linenumber)::bigint as q from lineitem where l_orderkey // l_linenumber % 2 = 1")
+_rule("expr_macros", "[{fact: Embedding, as: v, condition: 'v.embedding.exists(x, x > 0.3) && !v.embedding.all(x, x < 0.35)'}]", "{id: {$ref: v.vec_id}, n: {$expr: 'size(v.embedding.filter(x, x < 0.0))'}}",
+      "select vec_id as id, len(list_filter(embedding, lambda x: x < 0))::bigint as n from embeddings where len(list_filter(embedding, lambda x: x::double > 0.3)) > 0 and len(list_filter(embedding, lambda x: not x::double < 0.35)) > 0")
+_rule("expr_size", "[{fact: Part, as: p, condition: 'size(p.p_brand) > 7 && p.p_brand.startsWith(\"Brand\")'}]", "{id: {$ref: p.p_partkey}, n: {$expr: 'size(p.p_name)'}}",
+      "select p_partkey as id, length(p_name) as n from part where length(p_brand) > 7 and starts_with(p_brand, 'Brand')")
+_rule("expr_times", "[{fact: Event, as: e, condition: 'e.ts.getHours() == 3 && e.ts < timestamp(\"2024-01-15T00:00:00Z\")'}]", "{id: {$ref: e.event_id}, minute: {$expr: 'e.ts.getMinutes()'}, day: {$expr: 'e.ts.getDayOfYear()'}}",
+      "select event_id as id, minute(ts) as minute, dayofyear(ts) - 1 as day from events where hour(ts) = 3 and ts < timestamp '2024-01-15'")
+
+
 def rule_text(when: str, payload: str, rule_id: str = "r", salience: int = 0) -> str:
     return f"apiVersion: rules.v1\nrules:\n  - id: {rule_id}\n    salience: {salience}\n    when: {when}\n    then: [{{action: emit, event: found, payload: {payload}}}]\n"
 
@@ -106,5 +129,14 @@ def _query(name: str, when: str, payload: str) -> Callable[[SparkSession, str],
     return run
 
 
-QUERIES = {name: _query(name, when, payload) for name, (when, payload, _) in RULES.items()}
-ORACLE_SQL = {name: sql for name, (_, _, sql) in RULES.items()}
+def join_membership(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of a label whose first number an earlier one holds: only built rules say so, rule files can't."""
+    where = Where().eq("label", ref("a.label")).gt("vec_id", ref("a.vec_id")).is_in("embedding.0", ref("a.embedding"))
+    rule = RuleBuilder("member").when("Embedding", "a").when("Embedding", "b", where).emit("found", a=ref("a.vec_id"), b=ref("b.vec_id"))
+    return emitted(compile_rules([rule.build()]).rules[0], TableSources(spark, folder))
+
+
+QUERIES = {name: _query(name, when, payload) for name, (when, payload, _) in RULES.items()} | {"join_membership": join_membership}
+ORACLE_SQL = {name: sql for name, (_, _, sql) in RULES.items()} | {
+    "join_membership": "select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.label = b.label and b.vec_id > a.vec_id and list_contains(a.embedding, b.embedding[1])"
+}

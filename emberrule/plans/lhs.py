@@ -8,7 +8,7 @@ join also equates it, so one plan serves one session or a million.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import Val, condition, emit, result, typed
 from ..functions.expressions import parse, paths
 from ..functions.values import dumps
-from ..model import Expr, Fold, Literal, Pattern, Range, Ref, Rule, Value
+from ..model import Expr, Fold, Join, Literal, Pattern, Range, Ref, Rule, Value
 from ..model import Test as FieldTest
 from ..operators.predicates import Cell, cell, join_column, kind_of, negated, part, test_column
 
@@ -127,16 +127,13 @@ class Matches:
         assert out is not None
         for p in self.rule.when:
             if p.quantifier == "notExists":
-                right = self.side(p)
-                on = self.on(p, list(positives))
-                out = out.join(right, F.lit(True) if on is None else on, "left_anti")
+                out = self.without(out, self.side(p), self.on(p, list(positives)))
             elif p.quantifier == "forAll":
                 right = self.side(p, keep_alphas=False)
                 source = self.sources[p.fact].rows
                 fails = [negated(test_column(self.kinds[_name(p.alias, t.path)] if t.path in self.needed[p.alias] else cell(source, t.path), t)) for t in p.alphas]
                 right = right.filter(reduce(lambda a, b: a | b, fails, F.lit(False)))
-                on = self.on(p, list(positives))
-                out = out.join(right, F.lit(True) if on is None else on, "left_anti")
+                out = self.without(out, right, self.on(p, list(positives)))
         for p in self.rule.when:
             if p.quantifier == "accumulate":
                 out = self.fold(out, p, list(positives))
@@ -157,6 +154,63 @@ class Matches:
         c = self.kinds.get(_name(alias, path))
         return F.lit(c is not None and c.value is not None) if c is None or c.present is None else c.present
 
+    @staticmethod
+    def without(out: DataFrame, right: DataFrame, on: Column | None) -> DataFrame:
+        """The matches that no row of ``right`` goes with; where nothing links the two, one row of it is enough to know."""
+        return out.join(right, on, "left_anti") if on is not None else out.join(F.broadcast(right.limit(1)), F.lit(True), "left_anti")
+
+    def _of_own_key(self, p: Pattern, earlier: list[Pattern]) -> bool:
+        """Whether a fold counts the others with the same keys as a match's only fact of that type, which passes its tests as well."""
+        same = [e for e in earlier if e.fact == p.fact]
+        return (
+            p.fold.function == "count" and len(same) == 1 and bool(p.joins) and all(t in same[0].alphas for t in p.alphas)
+            and all(j.op == "eq" and j.ref.alias == same[0].alias and j.ref.path == j.path and self.kinds[_name(p.alias, j.path)].value is not None and self.kinds[_name(p.alias, j.path)].variant is None for j in p.joins)
+        )
+
+    def _fold_but_own(self, out: DataFrame, right: DataFrame, p: Pattern, answer: str) -> DataFrame:
+        """Counts by key, less the match's own fact: no pairs are made."""
+        keys = [(f"__k{i}", _name(p.alias, j.path), _name(j.ref.alias, j.path)) for i, j in enumerate(p.joins)]
+        if self.has_session:
+            keys.append(("__s", _name(p.alias, "$"), _name(p.joins[0].ref.alias, "$")))
+        counts = right.groupBy(*(F.col(f"`{mine}`").alias(k) for k, mine, _ in keys)).agg((F.count(F.lit(1)) - 1).alias(answer))
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"`{other}`")) for k, _, other in keys])
+        return out.join(counts, on).drop(*(k for k, *_ in keys))
+
+    def _in_time(self, p: Pattern, earlier: list[Pattern]) -> Join | None:
+        """The join of a fold over the facts in a span of time before or after a match's, beside equalities of the same types."""
+        spans = [j for j in p.joins if j.op in ("after", "before")]
+        same = [e.alias for e in earlier if e.fact == p.fact]
+        if len(spans) != 1 or len(p.joins) < 2 or any(j.op != "eq" for j in p.joins if j is not spans[0]) or same not in ([], [spans[0].ref.alias]):
+            return None
+        mine = [self.kinds[_name(p.alias, j.path)] for j in p.joins]
+        other = [self.kinds[_name(j.ref.alias, j.ref.path or "")] for j in p.joins]
+        if any(a.value is None or b.value is None or a.variant is not None or a.dtype != b.dtype for a, b in zip(mine, other, strict=True)):
+            return None
+        if same and spans[0].path != spans[0].ref.path:  # a fact might be in its own span
+            return None
+        t = self.kinds[_name(p.alias, spans[0].path)].dtype
+        return spans[0] if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.IntegralType)) and float(spans[0].within) >= 0 else None
+
+    def _fold_in_time(self, out: DataFrame, right: DataFrame, p: Pattern, span: Join, answer: str) -> tuple[DataFrame, T.DataType]:
+        """Matches and facts in one order of time by key, and a frame of it for each match: no pairs are made."""
+        keys = [j for j in p.joins if j.op == "eq"]
+        is_time = not isinstance(self.kinds[_name(p.alias, span.path)].dtype, T.IntegralType)
+        clock = lambda n: F.unix_micros(F.col(f"`{n}`").cast("timestamp")) if is_time else F.col(f"`{n}`").cast("long")
+        within = int(float(span.within) * 1_000_000) if is_time else int(span.within)
+        side = [(f"__k{i}", j.path, j.ref) for i, j in enumerate(keys)]
+        if self.has_session:
+            first = self.rule.positives[0].alias
+            side.append(("__s", "$", Ref(first, "$")))
+        left = out.select(F.struct(*(F.col(f"`{c}`") for c in out.columns)).alias("__match"), *(F.col(f"`{_name(r.alias, r.path or '')}`").alias(k) for k, _, r in side), clock(_name(span.ref.alias, span.ref.path or "")).alias("__t"), F.lit(None).cast(out.schema[_name(span.ref.alias, "#")].dataType).alias("__h"))
+        source = self.kinds.get(_name(p.alias, p.fold.path or "")) if p.fold.path else None
+        facts = right.select(F.lit(None).cast(left.schema["__match"].dataType).alias("__match"), *(F.col(f"`{_name(p.alias, x)}`").alias(k) for k, x, _ in side), clock(_name(p.alias, span.path)).alias("__t"), F.col(f"`{_name(p.alias, '#')}`").alias("__h"), *([source.value.alias("__v")] if source is not None and source.value is not None else []))
+        held = replace(source, value=F.col("__v")) if source is not None and source.value is not None else source
+        aggregate, dtype = _aggregate(p.fold, held, F.col("__h"))
+        low, high = (1, within) if span.op == "after" else (-within, -1)
+        frame = Window.partitionBy(*(k for k, *_ in side)).orderBy("__t").rangeBetween(low, high)
+        every = left.unionByName(facts, allowMissingColumns=True).withColumn(answer, F.when(F.col("__t").isNotNull(), aggregate.over(frame)))
+        return every.filter(F.col("__match").isNotNull()).select("__match.*", f"`{answer}`"), dtype
+
     def fold(self, out: DataFrame, p: Pattern, earlier: list[Pattern]) -> DataFrame:
         fold = p.fold
         assert fold is not None
@@ -166,7 +220,12 @@ class Matches:
         aggregate, dtype = _aggregate(fold, source, F.col(f"`{_name(p.alias, '#')}`"))
         alone = all(j.op == "eq" for j in p.joins) and not any(e.fact == p.fact for e in earlier)
         on = self.on(p, earlier)
-        if alone and on is not None:  # equal keys only: sum by key once, however many matches ask
+        span = self._in_time(p, earlier) if p.fold.function in ("count", "sum", "average") and (source is None or source.variant is None) else None
+        if self._of_own_key(p, earlier):
+            out = self._fold_but_own(out, right, p, answer)
+        elif span is not None:
+            out, dtype = self._fold_in_time(out, right, p, span, answer)
+        elif alone and on is not None:  # equal keys only: sum by key once, however many matches ask
             keys = [_name(p.alias, j.path) for j in p.joins] + ([_name(p.alias, "$")] if self.has_session else [])
             right = right.groupBy(*{f"`{k}`": 0 for k in keys}).agg(aggregate.alias(answer))
             out = out.join(right, on, "left").drop(*[k for k in dict.fromkeys(keys)])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dsl.reader import load_rules
+from ..functions.kernel import Options
+from ..functions.kernel import keep_newest as newest_facts
 from ..operators.explain import explain_counts
 from ..operators.retention import gate_updates, keep_newest, keep_per_type, keep_window
 from ..operators.sessions import fact_commands, fire_commands, run_sessions
@@ -63,17 +65,17 @@ def set_field_state(spark: SparkSession, folder: str) -> DataFrame:
 DERIVE = """
 apiVersion: rules.v1
 rules:
-  - id: unpaid
+  - id: idle
     salience: 10
     when:
       - {fact: Order, as: o, where: {status: {eq: P}}}
-      - {fact: Payment, as: p, quantifier: notExists, where: {orderId: {eq: {$ref: o.id}}}}
-    then: [{action: insertFact, fact: OrderUnpaid, logical: true, payload: {orderId: {$ref: o.id}, customerId: {$ref: o.customerId}}}]
-  - id: at-risk
+      - {fact: Step, as: s, quantifier: notExists, where: {of: {eq: {$ref: o.id}}}}
+    then: [{action: insertFact, fact: Idle, logical: true, payload: {task: {$ref: o.id}, owner: {$ref: o.customerId}}}]
+  - id: backlog
     when:
       - {fact: Customer, as: c}
-      - {fact: OrderUnpaid, as: n, quantifier: accumulate, accumulate: {count: true, having: {gte: 2}}, where: {customerId: {eq: {$ref: c.id}}}}
-    then: [{action: emit, event: customer.atRisk, payload: {id: {$ref: c.id}, n: {$ref: n}}}]
+      - {fact: Idle, as: n, quantifier: accumulate, accumulate: {count: true, having: {gte: 2}}, where: {owner: {eq: {$ref: c.id}}}}
+    then: [{action: emit, event: backlog.found, payload: {id: {$ref: c.id}, n: {$ref: n}}}]
 """
 
 
@@ -81,6 +83,11 @@ def _customers(spark: SparkSession, folder: str) -> DataFrame:
     return fact_commands(parquet(spark, folder, "customer"), "c_custkey", "Customer", "c_custkey", {"id": "c_custkey", "segment": "c_mktsegment"})
 
 
+def _emitted(outcomes: DataFrame, **fields: str) -> DataFrame:
+    v = F.parse_json("payload")
+    return outcomes.filter("what = 'emit'").select(*(F.try_variant_get(v, f"$.{k}", t).alias(k) for k, t in fields.items()))
+
+
 def derive_chain(spark: SparkSession, folder: str) -> DataFrame:
     out = run_sessions(_customers(spark, folder).unionByName(_orders(spark, folder)), load_rules(("derive", DERIVE)))
     v = F.parse_json("payload")
@@ -101,11 +108,57 @@ def retract_state(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def logical_withdraw(spark: SparkSession, folder: str) -> DataFrame:
-    """Conclusions about pending orders, half of which later payments withdraw."""
+    """Conclusions about pending orders, half of which later steps withdraw."""
     orders = parquet(spark, folder, "orders")
-    paid = fact_commands(orders.filter("o_orderkey % 2 = 0"), "o_custkey", "Payment", "o_orderkey", {"orderId": "o_orderkey"}, 2)
+    paid = fact_commands(orders.filter("o_orderkey % 2 = 0"), "o_custkey", "Step", "o_orderkey", {"of": "o_orderkey"}, 2)
     commands = _orders(spark, folder).unionByName(fire_commands(orders, "o_custkey", 2)).unionByName(paid)
-    return _facts(run_sessions(commands, load_rules(("derive", DERIVE))), "OrderUnpaid", orderId="long", customerId="long")
+    return _facts(run_sessions(commands, load_rules(("derive", DERIVE))), "Idle", task="long", owner="long")
+
+
+def _statistics(spark: SparkSession, folder: str, text: str, options: Options, *names: str) -> DataFrame:
+    out = run_sessions(_orders(spark, folder), load_rules(("rules", text)), options).filter("what = 'status'")
+    v = F.parse_json("payload")
+    return out.select("session_id", F.col("name").alias("status"), *(F.try_variant_get(v, f"$.{n}", "long").alias(n) for n in names))
+
+
+def session_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return _statistics(spark, folder, SET_FIELD, Options(), "inserts", "firings", "updates", "facts")
+
+
+def session_limit(spark: SparkSession, folder: str) -> DataFrame:
+    """No session fires more than twice."""
+    return _statistics(spark, folder, SET_FIELD, Options(max_cycles=2), "firings")
+
+
+def evict_at_insert(spark: SparkSession, folder: str) -> DataFrame:
+    """Each insert leaves a session its three newest facts."""
+    return _statistics(spark, folder, SET_FIELD, Options(evict=(newest_facts(3),)), "inserts", "evicted", "facts")
+
+
+FAILING = """
+apiVersion: rules.v1
+rules:
+  - id: share
+    when: [{fact: Order, as: o}]
+    then: [{action: emit, event: share, payload: {id: {$ref: o.id}, x: {$expr: '1000 / (o.id % 3)'}}}]
+"""
+
+
+def skip_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Firings that fail are skipped; the others go on."""
+    out = run_sessions(_orders(spark, folder), load_rules(("failing", FAILING)), Options(on_error="SKIP_ACTIVATION"))
+    return _emitted(out, id="long", x="long")
+
+
+def abort_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """A session ends with its first failure."""
+    return _statistics(spark, folder, FAILING, Options(on_error="ABORT_SESSION"), "inserts")
+
+
+def effects_log(spark: SparkSession, folder: str) -> DataFrame:
+    """What each firing wrote, in the order of the session."""
+    out = run_sessions(_orders(spark, folder), load_rules(("set", SET_FIELD))).filter("what = 'set'")
+    return out.select("session_id", "seq", F.col("rule_id"), F.col("handles")[0].alias("handle"), "payload")
 
 
 def evict_lru(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,6 +199,12 @@ QUERIES = {
     "derive_chain": derive_chain,
     "retract_state": retract_state,
     "logical_withdraw": logical_withdraw,
+    "session_stats": session_stats,
+    "session_limit": session_limit,
+    "evict_at_insert": evict_at_insert,
+    "skip_failures": skip_failures,
+    "abort_failures": abort_failures,
+    "effects_log": effects_log,
     "evict_lru": evict_lru,
     "evict_per_type": evict_per_type,
     "evict_window": evict_window,
@@ -154,13 +213,23 @@ QUERIES = {
     "explain_counts": explain_query,
 }
 
+_SET = "o_orderstatus = 'P' and o_totalprice > 200000"
+_BY_SESSION = "from orders group by o_custkey"
+
 ORACLE_SQL = {
+    "session_stats": f"select o_custkey::varchar as session_id, 'DRAINED' as status, count(*) as inserts, count(*) filter ({_SET}) as firings, count(*) filter ({_SET}) as updates, count(*) as facts {_BY_SESSION}",
+    "session_limit": f"select o_custkey::varchar as session_id, case when count(*) filter ({_SET}) > 2 then 'LIMIT_EXCEEDED' else 'DRAINED' end as status, least(2, count(*) filter ({_SET})) as firings {_BY_SESSION}",
+    "evict_at_insert": f"select o_custkey::varchar as session_id, 'DRAINED' as status, count(*) as inserts, greatest(0, count(*) - 3) as evicted, least(3, count(*)) as facts {_BY_SESSION}",
+    "skip_failures": "select o_orderkey as id, 1000 // (o_orderkey % 3) as x from orders where o_orderkey % 3 <> 0",
+    "abort_failures": f"select o_custkey::varchar as session_id, case when bool_or(o_orderkey % 3 = 0) then 'RHS_ERROR' else 'DRAINED' end as status, count(*) as inserts {_BY_SESSION}",
+    "effects_log": "select o_custkey::varchar as session_id, row_number() over (partition by o_custkey order by o_orderkey desc) - 1 as seq, 'band' as rule_id, handle, case when o_totalprice > 400000 then '\"HIGH\"' else '\"MID\"' end as payload "
+    f"from (select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 as handle from orders) where {_SET}",
     "fire_order": _FIRINGS,
     "runners_up": f"select * from ({_FIRINGS}) where seq <= 3",
     "set_field_state": "select o_orderkey as id, case when o_orderstatus = 'P' and o_totalprice > 400000 then 'HIGH' when o_orderstatus = 'P' and o_totalprice > 200000 then 'MID' end as band from orders",
     "derive_chain": "select o_custkey as id, count(*) as n from orders where o_orderstatus = 'P' group by o_custkey having count(*) >= 2",
     "retract_state": "select o_orderkey as id from orders where o_orderstatus <> 'F'",
-    "logical_withdraw": 'select o_orderkey as "orderId", o_custkey as "customerId" from orders where o_orderstatus = \'P\' and o_orderkey % 2 <> 0',
+    "logical_withdraw": 'select o_orderkey as task, o_custkey as owner from orders where o_orderstatus = \'P\' and o_orderkey % 2 <> 0',
     "evict_lru": "select user_id, event_id from events qualify row_number() over (partition by user_id order by event_id desc) <= 5",
     "evict_per_type": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id, event_type order by event_id desc) <= case event_type when 'click' then 2 when 'view' then 3 else 1000000000 end",
     "evict_window": "select user_id, event_id from events qualify ts >= max(ts) over (partition by user_id) - interval 1 day",

@@ -137,3 +137,39 @@ def test_maps_times_and_refused_results():
         s.insert("T", {})
         with pytest.raises(RuleError):
             s.fire()
+
+
+@pytest.mark.parametrize("op", ["after", "before"])
+@pytest.mark.parametrize("function", ["count", "sum"])
+def test_folds_over_spans_of_time_make_no_pairs(spark, op, function):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1, 2, None]), rng.choice([*range(12), None]), rng.randrange(9), rng.choice("ab")) for i in range(80)]
+    df = spark.createDataFrame(rows, "h long, k long, t long, v long, c string")
+    where = Where().eq("k", ref("e.k")).eq("c", "a")
+    where = where.after("t", ref("e.t"), 3) if op == "after" else where.before("t", ref("e.t"), 3)
+    for other in ("T", "U"):  # the same type, which includes the match's own fact, and another
+        rule = RuleBuilder("r").when("T", "e").accumulate(other, "n", function, None if function == "count" else "v", None, where).emit("e", h=ref("e.h"), n=ref("n"))
+        facts = [("T", dict(zip(("h", "k", "t", "v", "c"), r, strict=True))) for r in rows]
+        facts += [("U", p) for _, p in facts] if other == "U" else []
+        plan = emitted(rule.build(), {t: Facts(df, F.col("h")) for t in ("T", "U")})
+        assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString() and "Window" in plan._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r["h"], r["n"]) for r in plan.collect()) == sorted((p["h"], p["n"]) for p in sessions(rule, facts))
+
+
+def test_counts_of_others_make_no_pairs(spark):
+    rows = [(i, [1, 2, None][i % 3], "ab"[i % 2]) for i in range(20)] + [(99, 7, "a")]
+    df = spark.createDataFrame(rows, "h long, k long, c string")
+    rule = RuleBuilder("r").when("T", "e", Where().eq("c", "a")).accumulate("T", "n", "count", None, None, Where().eq("k", ref("e.k")).eq("c", "a")).emit("e", h=ref("e.h"), n=ref("n"))
+    plan = emitted(rule.build(), {"T": Facts(df, F.col("h"))})
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    facts = [("T", dict(zip(("h", "k", "c"), r, strict=True))) for r in rows]
+    assert sorted((r["h"], r["n"]) for r in plan.collect()) == sorted((p["h"], p["n"]) for p in sessions(rule, facts))
+
+
+def test_absence_of_anything_asks_for_one_row(spark):
+    df = spark.createDataFrame([(i, i % 5) for i in range(50)], "h long, x long")
+    rule = RuleBuilder("r").when("T", "e").for_all("U", "u", Where().gt("x", 0)).emit("e", h=ref("e.h")).build()
+    plan = emitted(rule, {"T": Facts(df, F.col("h")), "U": Facts(df, F.col("h"))})
+    assert "GlobalLimit 1" in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() == 0

@@ -108,35 +108,35 @@ def test_plans_agree_with_the_kernel(spark, seed):
     assert got == order
 
 
-PIPELINE = """
+MACHINES = """
 apiVersion: rules.v1
 rules:
-  - id: review-large
+  - id: hot
     salience: 20
     when:
-      - {fact: Order, as: order, where: {cents: {gt: 500000}, review: {hasField: false}}}
-      - {fact: Customer, as: buyer, where: {id: {eq: {$ref: order.buyer}}, tier: {in: [HIGH]}}}
+      - {fact: Machine, as: m, where: {state: {hasField: false}, site: {in: [north, south]}}}
+      - {fact: Reading, as: r, where: {machine: {eq: {$ref: m.id}}, heat: {gt: 80}}}
     then:
-      - {action: setField, target: order, field: review, value: OPEN}
-      - {action: emit, event: flagged}
-  - id: paid-soon
+      - {action: setField, target: m, field: state, value: HOT}
+      - {action: emit, event: hot}
+  - id: cooled
     when:
-      - {fact: Order, as: order}
-      - {fact: Payment, as: pay, where: {order: {eq: {$ref: order.id}}, at: {after: {$ref: order.at, within: 3600}}}}
-    then: [{action: emit, event: paidSoon}]
-  - id: ready
+      - {fact: Reading, as: r, where: {heat: {gt: 80}}}
+      - {fact: Reading, as: c, where: {machine: {eq: {$ref: r.machine}}, heat: {lt: 50}, at: {after: {$ref: r.at, within: 600}}}}
+    then: [{action: emit, event: cooled}]
+  - id: quiet
     when:
-      - {fact: Order, as: order}
-      - {fact: Payment, as: pay, where: {order: {eq: {$ref: order.id}}}}
-      - {fact: Item, as: n, quantifier: accumulate, accumulate: {count: true, having: {gte: 1}}, where: {order: {eq: {$ref: order.id}}}}
-      - {fact: Item, as: every, quantifier: forAll, where: {order: {eq: {$ref: order.id}}, stock: {eq: true}}}
-    then: [{action: emit, event: ready}]
-  - id: express
+      - {fact: Machine, as: m}
+      - {fact: Alarm, as: a, quantifier: notExists, where: {machine: {eq: {$ref: m.id}}}}
+      - {fact: Reading, as: n, quantifier: accumulate, accumulate: {count: true, having: {gte: 2}}, where: {machine: {eq: {$ref: m.id}}}}
+      - {fact: Reading, as: every, quantifier: forAll, where: {machine: {eq: {$ref: m.id}}, valid: {eq: true}}}
+    then: [{action: emit, event: quiet}]
+  - id: grade
     noLoop: true
-    when: [{fact: Order, as: order, condition: "order.cents > 50000 && (order.web || order.cents > 900000)"}]
+    when: [{fact: Machine, as: m, condition: "m.load > 5 && (m.old || m.load > 9)"}]
     then:
-      - {action: setField, target: order, field: band, value: {$expr: "order.cents > 200000 ? 'NIGHT' : 'DAY'"}}
-      - {action: emit, event: express}
+      - {action: setField, target: m, field: grade, value: {$expr: "m.load > 7 ? 'HEAVY' : 'BUSY'"}}
+      - {action: emit, event: graded}
 """
 
 
@@ -148,17 +148,17 @@ def commands(spark):
     def add(sid, t, **p):
         data.append((sid, next(n), "insert", t, None, json.dumps(p)))
 
-    for sid, tier, cents, web, at, stock in (("o1", "LOW", 25000, True, 600, [True]), ("o2", "HIGH", 750000, True, 9000, [True, True]), ("o3", "HIGH", 120000, True, None, [True]), ("o4", "LOW", 60000, False, 9000, [False])):
-        add(sid, "Customer", id="c", tier=tier)
-        add(sid, "Order", id=sid, buyer="c", cents=cents, web=web, at=0)
-        for ok in stock:
-            add(sid, "Item", order=sid, stock=ok)
-        if at:
-            add(sid, "Payment", order=sid, at=at)
+    readings = {"m1": [(90, 0, True), (40, 300, True)], "m2": [(30, 0, True), (60, 10, True)], "m3": [(95, 0, False)], "m4": [(20, 0, True)]}
+    for sid, load, old, alarm in (("m1", 3, True, False), ("m2", 8, True, False), ("m3", 10, False, True), ("m4", 6, False, False)):
+        add(sid, "Machine", id=sid, site="north", load=load, old=old)
+        if alarm:
+            add(sid, "Alarm", machine=sid)
+        for heat, at, valid in readings[sid]:
+            add(sid, "Reading", machine=sid, heat=heat, at=at, valid=valid)
     return data
 
 
-GOLDEN = {"o1": ["paidSoon", "ready"], "o2": ["flagged", "express", "ready"], "o3": ["express"], "o4": []}
+GOLDEN = {"m1": ["hot", "quiet", "cooled"], "m2": ["graded", "quiet"], "m3": ["hot", "graded"], "m4": []}
 
 
 def events(out):
@@ -169,23 +169,23 @@ def events(out):
 
 
 def test_sessions_golden_replay_and_failure(spark):
-    rules = load_rules(("p", PIPELINE))
+    rules = load_rules(("machines", MACHINES))
     data = commands(spark)
     df = spark.createDataFrame([*data, ("bad", 0, "update", None, 5, "{"), ("bad2", 0, "jump", None, None, None)], COMMANDS)
     outcomes = run_sessions(df, rules).cache()
     out = outcomes.collect()
     assert events(out) == {k: v for k, v in GOLDEN.items() if v}
     status = {r["session_id"]: r["name"] for r in out if r["what"] == "status"}
-    assert status == {"o1": "DRAINED", "o2": "DRAINED", "o3": "DRAINED", "o4": "DRAINED", "bad": "FAILED", "bad2": "FAILED"}
+    assert status == {"m1": "DRAINED", "m2": "DRAINED", "m3": "DRAINED", "m4": "DRAINED", "bad": "FAILED", "bad2": "FAILED"}
     again = run_sessions(export_facts(outcomes), rules).collect()
     assert {r["session_id"] for r in again if r["what"] == "status"} == set(GOLDEN)
 
 
 def test_stream_keeps_sessions(spark, tmp_path):
-    rules = load_rules(("p", PIPELINE))
+    rules = load_rules(("machines", MACHINES))
     data = commands(spark)
-    half = [r for r in data if r[3] != "Payment"]
-    rest = [r for r in data if r[3] == "Payment"]
+    half = [r for r in data if r[3] != "Reading"]
+    rest = [r for r in data if r[3] == "Reading"]
     source = str(tmp_path / "in")
     spark.createDataFrame(half, COMMANDS).coalesce(1).write.parquet(source)
 
