@@ -149,7 +149,7 @@ def commands(spark):
         data.append((sid, next(n), "insert", t, None, json.dumps(p)))
 
     readings = {"m1": [(90, 0, True), (40, 300, True)], "m2": [(30, 0, True), (60, 10, True)], "m3": [(95, 0, False)], "m4": [(20, 0, True)]}
-    for sid, load, old, alarm in (("m1", 3, True, False), ("m2", 8, True, False), ("m3", 10, False, True), ("m4", 6, False, False)):
+    for sid, load, old, alarm in (("m1", 3, True, False), ("m2", 8, True, False), ("m3", 6, False, True), ("m4", 10, False, False)):
         add(sid, "Machine", id=sid, site="north", load=load, old=old)
         if alarm:
             add(sid, "Alarm", machine=sid)
@@ -158,7 +158,7 @@ def commands(spark):
     return data
 
 
-GOLDEN = {"m1": ["hot", "quiet", "cooled"], "m2": ["graded", "quiet"], "m3": ["hot", "graded"], "m4": []}
+GOLDEN = {"m1": ["hot", "quiet", "cooled"], "m2": ["graded", "quiet"], "m3": ["hot"], "m4": ["graded"]}
 
 
 def events(out):
