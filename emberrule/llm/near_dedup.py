@@ -4,7 +4,7 @@ A text is the sequence of its runs of five words, each labelled with how often i
 the few of least hash and keeps them in text order, so it agrees for texts that share the runs in the same order.
 Texts whose sketches agree in a band are candidates; an alignment within a band of diagonals decides.
 
-Groups may be huge. In each turn a text is compared with one leader of its buckets, links are contracted, and buckets
+Groups may be huge. In each turn a text is compared with a few leaders of its buckets, links are contracted, and buckets
 whose texts are all of one group are done. What is left, pairs of different groups that share a bucket, is
 compared in full in small buckets; in large ones a filter that loses none finds those that can be alike.
 """
@@ -31,8 +31,10 @@ SKETCHES, MINIMA = 20, 4
 #: Runs below which a text is compared with all that share a run with it; a text alike has at most SHORT_PEER.
 SHORT = 10
 SHORT_PEER = int((SHORT - 1) / SIMILARITY + 1e-9)
-#: Turns in which each text is compared with a leader.
-TURNS = 2
+#: Turns in which each text is compared with leaders: of its buckets, then of those parts that agree in one, two, ... more sketches.
+TURNS = 3
+#: Leaders of a text and turn, those that it shares most buckets with.
+LEADERS = 3
 #: Members of a bucket up to which all their pairs of different groups are compared; larger ones go to the search by runs.
 FEW = 16
 #: Rows of a run that one piece of the search for pairs across groups takes, about.
@@ -194,19 +196,38 @@ def _verified(pairs: DataFrame, runs: DataFrame, least: float) -> DataFrame:
 def _open(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
     """Members (bucket, rep, n, score) of buckets that hold texts of several groups, with their root, the bucket's size and a leader.
 
-    The first turn's leader is the member that shares buckets with most others, near the middle of its group; later ones are drawn by bucket.
+    The first turn's leader is the member that shares buckets with most others, near the middle of its group; later ones are drawn, a
+    text being first or last in all its buckets.
     """
     if roots is None:
         now = members.withColumn("root", F.col("rep"))
     else:
         now = members.join(roots, members["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
-    key = -F.col("score") if turn == 0 else F.xxhash64(F.lit(turn), "bucket", "rep")
+    key = -F.col("score") if turn == 0 else F.xxhash64(F.lit(turn), "rep")
     head = F.struct(key.alias("key"), "rep", "n", "root")
     partial = [F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(head).alias("h")]
     final = [F.sum("c").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("h").alias("leader")]
     return attach_group(now, ["bucket"], "rep", partial, final).filter("lo <> hi").drop("lo", "hi")
 
 
+def _deeper(members: DataFrame, keys: DataFrame, more: int) -> DataFrame:
+    """Members (with ``band``) by buckets of those that agree in ``more`` of the next sketches as well."""
+    if not more:
+        return members
+    after = [F.get("keys", F.pmod(F.col("band") + i, F.lit(SKETCHES)).cast("int")) for i in range(1, more + 1)]
+    deep = F.when(F.col("band") < SKETCHES, F.xxhash64("bucket", *after)).otherwise(F.col("bucket"))
+    return members.join(keys, "rep").withColumn("bucket", deep).drop("keys")
+
+
+def _stars(opened: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b): each text with the leaders of other groups that it shares most buckets with."""
+    may = opened.filter((F.col("root") != F.col("leader.root")) & (F.least("n", "leader.n") >= F.greatest("n", "leader.n") * least))
+    shared = may.groupBy("rep", F.col("leader.rep").alias("a")).agg(F.count(F.lit(1)).alias("c"), F.min("leader.key").alias("key"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "key", "a"))), 1, LEADERS)  # of as many as a text has buckets
+    pairs = shared.groupBy("rep").agg(best.alias("l")).select(F.col("rep").alias("b"), F.explode("l.a").alias("a"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _joined(roots: DataFrame | None, found: DataFrame) -> DataFrame:
     """The roots after the links (a, b) of ``found``."""
     old = [] if roots is None else [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
@@ -256,7 +277,7 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = attach_group(made.select("rid", "doc_id", "text_key", "cls"), ["cls"], "rid", [F.min("rid").alias("r")], [F.min("r").alias("rep")])
     rows = materialise(rows.drop("cls"))
     firsts = made.join(rows.filter("rid = rep").select("rid"), "rid", "left_semi").filter("n > 0")
-    members = firsts.select(F.col("rid").alias("rep"), "n", F.explode("keys").alias("bucket"))
+    members = firsts.select(F.col("rid").alias("rep"), "n", F.posexplode("keys").alias("band", "bucket"))
     counted = attach_group(members, ["bucket"], "rep", [F.count(F.lit(1)).alias("c")], [F.sum("c").alias("size")]).filter("size > 1")
     counted = materialise(counted)
     scores = counted.groupBy("rep").agg(F.sum("size").alias("score"))
@@ -264,12 +285,10 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     runs = materialise(_runs_of(docs, involved))
     near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * least
     left, roots = counted.drop("size").join(scores, "rep"), None
+    keys = materialise(firsts.select(F.col("rid").alias("rep"), "keys").join(scores.select("rep"), "rep", "left_semi"))
     for turn in range(TURNS):
-        left = materialise(_open(left, roots, turn))
-        stars = left.filter((F.col("root") != F.col("leader.root")) & near(F.col("n"), F.col("leader.n")))
-        stars = stars.groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("l")).select(F.col("l.rep").alias("a"), "b")
+        stars = _stars(_open(_deeper(left, keys, turn), roots, turn), least)
         roots = _joined(roots, materialise(_verified(materialise(stars), runs, least)))
-        left = left.select("bucket", "rep", "n", "score")
     left = materialise(_open(left, roots, TURNS))
     few = left.filter(F.col("size") <= FEW)
     # All pairs of a few: at most FEW - 1 partners for each row.
