@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,6 +72,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def free_plans(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer held."""
+    gc.collect()
+    time.sleep(1.5)  # the gateway tells the JVM once a second what Python has let go
+    with suppress(Py4JJavaError):  # listeners that are behind still hold plans: after a while they may keep them
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    spark.sparkContext._jvm.System.gc()
+
+
 def hash_sample(df: DataFrame, hash_: Column, n: int, most: int) -> DataFrame:
     """About ``most`` rows, and hardly ever more, of ``n`` whose hashes differ: those below an edge. No rows are ranked."""
     if n <= most:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_group, materialise, text_of
+from .common import attach_group, free_plans, materialise, text_of
 from .fingerprints import SHINGLE, WordHashes, mix64, shingle_hashes
 
 #: Least similarity: runs aligned of the runs in either text.
@@ -31,8 +31,8 @@ SKETCHES, MINIMA = 20, 4
 #: Runs below which a text is compared with all that share a run with it; a text alike has at most SHORT_PEER.
 SHORT = 10
 SHORT_PEER = int((SHORT - 1) / SIMILARITY + 1e-9)
-#: Turns in which each text is compared with leaders: of its buckets, then of those parts that agree in one, two, ... more sketches.
-TURNS = 3
+#: Turns in which each text is compared with leaders: those of its buckets, then those of the parts that agree in one and in two more sketches.
+TURNS = ((0,), (1, 2))
 #: Leaders of a text and turn, those that it shares most buckets with.
 LEADERS = 3
 #: Members of a bucket up to which all their pairs of different groups are compared; larger ones go to the search by runs.
@@ -123,8 +123,9 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
 
     def open_() -> bool:  # a node has two roots, or a root has one
-        twice = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        return not twice.isEmpty() or not e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+        parts = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        sums = parts.groupBy("x").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n"))
+        return not sums.filter((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("ups") < F.col("n")))).isEmpty()
 
     while open_():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -286,10 +287,11 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * least
     left, roots = counted.drop("size").join(scores, "rep"), None
     keys = materialise(firsts.select(F.col("rid").alias("rep"), "keys").join(scores.select("rep"), "rep", "left_semi"))
-    for turn in range(TURNS):
-        stars = _stars(_open(_deeper(left, keys, turn), roots, turn), least)
-        roots = _joined(roots, materialise(_verified(materialise(stars), runs, least)))
-    left = materialise(_open(left, roots, TURNS))
+    for turn in TURNS:
+        stars = reduce(DataFrame.unionByName, [_stars(_open(_deeper(left, keys, more), roots, more), least) for more in turn])
+        roots = _joined(roots, materialise(_verified(materialise(stars.distinct()), runs, least)))
+        free_plans(docs.sparkSession)
+    left = materialise(_open(left, roots, len(TURNS)))
     few = left.filter(F.col("size") <= FEW)
     # All pairs of a few: at most FEW - 1 partners for each row.
     lists = few.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "root"))).alias("l"))
@@ -301,6 +303,7 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     if not reps.isEmpty():
         found = found.unionByName(_verified(materialise(_across(reps, runs, least)), runs, least))
     roots = _joined(roots, materialise(found))
+    free_plans(docs.sparkSession)
     grouped = rows.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     grouped = attach_group(

@@ -17,21 +17,17 @@ so none is missed.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
-from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import zstandard
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_of
+from .common import free_plans, materialise, small_batches, text_of
 from .fingerprints import mix64
 
 #: Bytes in a repeated string, and in the strings by which windows meet.
@@ -401,15 +397,6 @@ def _second_round(rows: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(meet, MARKS)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer held."""
-    gc.collect()
-    time.sleep(1.5)  # the gateway tells the JVM once a second what Python has let go
-    with suppress(Py4JJavaError):  # listeners that are behind still hold plans: after a while they may keep them
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
-    spark.sparkContext._jvm.System.gc()
-
-
 def cut(text: bytes, lows: np.ndarray, highs: np.ndarray, length: int = LENGTH) -> tuple[bytes, int, int]:
     """What stays of ``text``, how many bytes go, and in how many spans."""
     change = np.zeros(len(text) + 1, np.int64)
@@ -439,9 +426,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     long = rows.filter(F.octet_length("text") >= LENGTH).select("text", "doc", "tag")
     with small_batches(spark):
         first = materialise(_first_round(long, buckets))
-        release(spark)
+        free_plans(spark)
         second = materialise(_second_round(long, first.filter("name >= 0"), 4 * buckets))
-        release(spark)
+        free_plans(spark)
     marks = first.filter("name = -1").unionByName(second).groupBy("doc", "tag").agg(
         F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,7 +89,7 @@ def swaps(words: set[str], sentence: list[str]) -> Iterator[tuple[str, str]]:
 Swap = tuple[tuple[int, ...], tuple[int, ...]]
 
 
-def train(rows: list[tuple[list[int], int]], swapped: Counter[Swap], size: int, steps: int = 400) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[Sequence[int], int]], swapped: Counter[Swap], size: int, steps: int = 400) -> tuple[np.ndarray, float]:
     """Full-batch gradient descent with momentum on log loss + ridge + penalty on score changes of counterfactuals.
 
     ``swapped``: how often a swap of features occurs, those that go and those that come; there are no more kinds than identity terms allow.
@@ -97,8 +97,8 @@ def train(rows: list[tuple[list[int], int]], swapped: Counter[Swap], size: int,
     y = np.array([t for _, t in rows], float)
     counts = np.where(y > 0, TOXIC_WEIGHT, 1.0)
     lengths = np.array([len(x) for x, _ in rows])
-    at = np.fromiter((i for x, _ in rows for i in x), np.int64, int(lengths.sum()))
-    row = np.repeat(np.arange(len(rows)), lengths)
+    at = np.concatenate([np.asarray(x, np.int32) for x, _ in rows]) if rows else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     w, bias = np.zeros(size), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     step, v, vb = 0.3, np.zeros(size), 0.0
     pairs = sorted(swapped)
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
             xs, swapped = [], []
             for text in b["text"]:
                 words = set(WORDS.findall(text.lower()))
-                xs.append(sorted(words_known.of(text)))
+                xs.append(np.array(sorted(words_known.of(text)), ">i4").tobytes())
                 pairs: set[tuple[str, str]] = set()
                 if not words.isdisjoint(terms):
                     for sentence in SENTENCES.split(text.lower()):
@@ -171,10 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
                 swapped.append([list(words_known[w]) for p in sorted(pairs) for w in p])
             yield pd.DataFrame({"x": xs, "toxic": b["toxic"], "swapped": swapped})
 
-    got = rows.mapInPandas(features, "x array<int>, toxic int, swapped array<array<int>>").collect()  # at most ``sample`` short lists
+    got = rows.mapInPandas(features, "x binary, toxic int, swapped array<array<int>>").collect()  # at most ``sample`` short lists
     got.sort(key=lambda r: (r["x"], r["toxic"]))  # the same sums whatever order the rows come in
     swapped = Counter((tuple(a), tuple(b)) for r in got for a, b in zip(r["swapped"][::2], r["swapped"][1::2], strict=True))
-    weights, bias = train([(r["x"], int(r["toxic"] != 0)) for r in got], swapped, len(index))
+    weights, bias = train([(np.frombuffer(r["x"], ">i4"), int(r["toxic"] != 0)) for r in got], swapped, len(index))
     return Model(index, weights, bias)
 
 
